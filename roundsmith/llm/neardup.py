@@ -108,22 +108,26 @@ def _estimates(sketch: SetSketch, n_u, n_v, a: np.ndarray, b: np.ndarray) -> np.
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(a, b) → (node, label): the smallest node of each node's connected component.
+    """edges(a, b) → (node, label): one label for each connected component, a node of it.
 
-    Rounds of smallest neighbouring label and pointer jumping, each written to the shared folder.
+    Every node moves to its smallest neighbour, the edges move along, and loops and repeats go; rounds
+    follow until no edge is left.  Edges shrink by a factor each round because nodes are hashes, in random
+    order.  Rounds are written to the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
-    step = 0
-    while True:
+    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
+    label, step = None, 0
+    while label is None or not left.isEmpty():
         step += 1
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = label.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        after = stored(lower.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.coalesce("further", "new").alias("label")), f"{name}-{step}")
-        label = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
-            return label
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("m")).union(left.select(F.col("b").alias("node"), F.col("a").alias("m")))
+        move = stored(both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("to")), f"{name}-move-{step}")
+        if label is None:
+            label = move.select("node", F.col("to").alias("label"))
+        else:
+            label = stored(label.join(move.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels-{step}")
+        side = lambda at: move.select(F.col("node").alias(at), F.col("to").alias(f"{at}_to"))
+        moved = left.join(side("a"), "a").join(side("b"), "b").where("a_to <> b_to")
+        left = stored(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-{step}")
+    return label
 
 
 def linked_pairs(ids: list, label_pairs: np.ndarray) -> list[tuple]:
