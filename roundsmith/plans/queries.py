@@ -6,6 +6,7 @@ A query is named after the operators that it shows.  Doubles are rounded to six
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+@lru_cache(maxsize=8)
+def _schedule(spark: SparkSession, sf_dir: str, compact: bool) -> Schedule:
+    """One set of plans for a session and folder: queries share the building of plans, not data."""
+    return Schedule(Domain(spark, sf_dir), compact=compact)
+
+
 def query(name: str, sql: str | None = None, compact: bool = False):
     def register(build: Callable[[Schedule], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Schedule(Domain(spark, sf_dir), compact=compact))
+            return build(_schedule(spark, sf_dir, compact))
 
         QUERIES[name] = run
         if sql:

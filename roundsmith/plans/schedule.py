@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -51,22 +52,52 @@ def convergence(placed: DataFrame) -> DataFrame:
 
 
 class Schedule:
-    """Every table of a run over a domain, each built lazily from the ones before it."""
+    """Every table of a run over a domain; a table's plan is built when first asked for, from the ones before it."""
 
     def __init__(self, domain, config: SchedulingConfig = DEFAULT, compact: bool = False):
-        self.domain, self.config = domain, config
-        sites = domain.table("compact").withColumn("address", F.lit(None).cast("string")) if compact else domain.locations
+        self.domain, self.config, self.compact = domain, config, compact
+
+    @cached_property
+    def derived(self) -> DataFrame:
+        sites = self.domain.table("compact").withColumn("address", F.lit(None).cast("string")) if self.compact else self.domain.locations
         place_of = sites.select("fl_id", "fl_name", "city", "address", "latitude", "longitude")
-        self.derived = recurrence.derive(export.latest(domain.setups), domain.setups, config).join(place_of, "fl_id", "left")
-        self.rules = profile.exclusion_rules(config)
-        self.marked = profile.waterfall(self.derived, self.rules)
-        self.work = profile.working_set(self.marked, config)
-        self.site = profile.sites(self.work)
-        self.area = profile.areas(self.site, config)
-        self.clean = assign.cleaned(self.work, self.site, config)
-        self.centroids = assign.tech_centroids(self.clean, config)
-        self.assigned = assign.nearest_tech(self.clean, self.centroids)
-        self.tech_sites = assign.tech_sites(self.assigned, self.site)
+        return recurrence.derive(export.latest(self.domain.setups), self.domain.setups, self.config).join(place_of, "fl_id", "left")
+
+    @cached_property
+    def rules(self):
+        return profile.exclusion_rules(self.config)
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        return profile.waterfall(self.derived, self.rules)
+
+    @cached_property
+    def work(self) -> DataFrame:
+        return profile.working_set(self.marked, self.config)
+
+    @cached_property
+    def site(self) -> DataFrame:
+        return profile.sites(self.work)
+
+    @cached_property
+    def area(self) -> DataFrame:
+        return profile.areas(self.site, self.config)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return assign.cleaned(self.work, self.site, self.config)
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        return assign.tech_centroids(self.clean, self.config)
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return assign.nearest_tech(self.clean, self.centroids)
+
+    @cached_property
+    def tech_sites(self) -> DataFrame:
+        return assign.tech_sites(self.assigned, self.site)
 
     def stub(self) -> DataFrame:
         """A fixed assignment by arithmetic, for checking everything that follows an assignment."""
