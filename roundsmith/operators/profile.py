@@ -74,9 +74,10 @@ def areas(site: DataFrame, config: SchedulingConfig = DEFAULT) -> DataFrame:
 
 
 def tiers(work: DataFrame) -> DataFrame:
+    """Per frequency.  Hours are rounded to six places first, so that the order of the sum doesn't decide a half."""
     return work.where("recurrence_frequency IS NOT NULL").groupBy("recurrence_frequency").agg(
         F.count("booking_setup_id").alias("setup_count"), F.countDistinct("fl_id").alias("fl_count"),
-        F.bround(F.avg("effective_duration"), 1).alias("avg_duration_mins"), F.bround(F.coalesce(F.sum("monthly_contrib_hrs"), F.lit(0.0)), 1).alias("monthly_hrs"),
+        F.bround(F.avg("effective_duration"), 1).alias("avg_duration_mins"), F.bround(F.round(F.coalesce(F.sum("monthly_contrib_hrs"), F.lit(0.0)), 6), 1).alias("monthly_hrs"),
     )
 
 

@@ -246,7 +246,7 @@ def top_areas(s):
     return rounded(s.area).orderBy(F.desc("total_monthly_hrs"), "city").limit(25)
 
 
-@query("agg_4_mth_2_srt_2_tiers", "SELECT recurrence_frequency, count(*) setup_count, count(DISTINCT fl_id) fl_count, round_even(avg(effective_duration),1) avg_duration_mins, round_even(coalesce(sum(monthly_contrib_hrs),0),1) monthly_hrs FROM work GROUP BY 1")
+@query("agg_4_mth_2_srt_2_tiers", "SELECT recurrence_frequency, count(*) setup_count, count(DISTINCT fl_id) fl_count, round_even(avg(effective_duration),1) avg_duration_mins, round_even(round(coalesce(sum(monthly_contrib_hrs),0),6),1) monthly_hrs FROM work GROUP BY 1")
 def _(s):
     return profile.tiers(s.work)
 
