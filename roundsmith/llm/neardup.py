@@ -4,10 +4,15 @@
    cost nothing further.
 2. A class gets a SetSketch: ``registers`` minima, each truncated to floor(1 - log_b(minimum)).  They
    are mergeable by maximum and two registers are equal with about the similarity's probability.
-   ``bands`` bands of ``rows`` registers are hashed; every class is paired with one random class of
-   each of its buckets, which is linear in the bucket however large it is.
+   ``bands`` bands of ``rows`` registers are hashed; every class is paired with one random class, the
+   centre, of each of its buckets.
 3. The likelihood of greater, equal and smaller registers, given both exact sizes, estimates each
-   pair's similarity; pairs that reach ``loose`` join classes to clusters.
+   pair's similarity; pairs that reach ``loose`` join classes to clusters.  A bucket's members below
+   ``loose`` are compared with each other and with its members between ``loose`` and ``sure``, in
+   blocks, and join where their registers don't exclude the similarity: work that grows with the
+   square of a bucket's unlike members, and not with its alike ones.  Two members like the centre are
+   in one cluster already; one above ``sure`` has no partner at the threshold below ``loose``, but for
+   an error of five standard errors in the difference of the two estimates.
 4. Within a cluster all classes are compared in square blocks, many tasks for a large cluster: sizes
    and sketches exclude pairs whose similarity cannot (six standard errors) reach the threshold, full sets decide the rest, and a
    task returns only a spanning forest of its links.  Components of these links are the result.
@@ -23,6 +28,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -187,7 +193,7 @@ def _incidence(sets: list[np.ndarray], most: int = 24_000_000):
     return lambda p, q: table[p, q]
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, loose: float = 0.4, block: int = 64, max_splits: int = 32, max_block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, loose: float = 0.4, block: int = 64, max_splits: int = 32, max_block: int = 4096, sure: float = 0.8, bucket_block: int = 1024) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketch = SetSketch(bands * rows)
 
@@ -210,18 +216,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     banded = classes.mapInArrow(_band_rows(bands, rows), "key long, h binary")
     centre = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("r"), F.col("h").alias("h"))).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.h").alias("c"))
-    pairs = banded.join(centre, "key").where("h <> c").select("h", "c").distinct()
+    placed = stored(banded.join(centre, "key").where("h <> c").select("key", "h", "c"), "placed")
     side = lambda key, to: classes.select(F.col("h").alias(key), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}"))
-    judged = pairs.join(side("h", 1), "h").join(side("c", 2), "c")
+    pairs = placed.select("h", "c").distinct().join(side("h", 1), "h").join(side("c", 2), "c")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 s1, s2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, sketch.m) for c in ("s1", "s2"))
-                keep = pa.array(_estimates(sketch, batch.column("n1").to_numpy(), batch.column("n2").to_numpy(), s1, s2) >= loose)
-                yield pa.RecordBatch.from_arrays([batch.column("h").filter(keep), batch.column("c").filter(keep)], names=["a", "b"])
-
-    cluster = components(judged.select("h", "c", "n1", "n2", "s1", "s2").mapInArrow(estimate, "a binary, b binary"), "clusters")
+                found = _estimates(sketch, batch.column("n1").to_numpy(), batch.column("n2").to_numpy(), s1, s2)
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(found)], names=["h", "c", "estimate"])
+
+    judged = stored(pairs.select("h", "c", "n1", "n2", "s1", "s2").mapInArrow(estimate, "h binary, c binary, estimate double"), "judged")
+    near = judged.where(F.col("estimate") >= loose).select(F.col("h").alias("a"), F.col("c").alias("b"))
+
+    # What the centre doesn't settle: members unlike it go with each other and with those that are like it, but not surely.
+    rest = placed.join(judged.where(F.col("estimate") < sure), ["h", "c"]).select("key", "h", (F.col("estimate") >= loose).alias("linked"))
+    counts = rest.groupBy("key").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_free")).where("n_free > 0 and n_linked + n_free > 1")
+    parts = lambda n: F.ceil(F.col(n) / bucket_block).cast("int")
+    dealt = rest.join(counts, "key").select("key", "h", "linked", parts("n_free").alias("kf"), parts("n_linked").alias("kl"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), F.when(F.col("linked"), F.col("kl")).otherwise(F.col("kf"))).cast("int")).join(classes, "h")
+    # Blocks of free members are numbered from 0, those of linked members from kf: only pairs with a free block are compared.
+    other = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("kf") - 1)).otherwise(F.sequence(F.lit(0), F.col("kf") + F.col("kl") - 1))
+    dealt = dealt.withColumn("mine", F.when(F.col("linked"), F.col("kf") + F.col("mine")).otherwise(F.col("mine"))).withColumn("other", F.explode(other))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "n", "h", "sketch")
+    further = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_buckets(sketch, percent), "a binary, b binary")
+
+    cluster = components(near.union(further), "clusters")
     cluster = cluster.select(F.col("node").alias("h"), F.col("label").alias("cluster"))
 
     # Only members of clusters of two classes or more need their sets: one text of each class.
@@ -273,6 +294,59 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _within_buckets(sketch: SetSketch, percent: int):
+    """Rows sorted by (key, i, j), a group being two blocks of a bucket: a spanning forest of the pairs that may reach the similarity."""
+    # Registers agree with at least the similarity's probability; six standard errors are allowed, as in ``_links``.
+    least_same = sketch.m * (percent / 100 - 6 * (0.25 / sketch.m) ** 0.5)
+
+    def group(table: pa.Table) -> list[tuple]:
+        i, j, mine, n = (table.column(c).to_numpy() for c in ("i", "j", "mine", "n"))
+        order = np.argsort(n, kind="stable")
+        own, far = order[mine[order] == i[0]], order[mine[order] == j[0]]
+        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, sketch.m)
+        across = np.ascontiguousarray(registers[far].T)
+        found = []
+        for a in range(0, len(own), 32):
+            p = own[a:a + 32]
+            # Sizes further apart than the similarity allows need no look; both sides are sorted by size.
+            lo, hi = np.searchsorted(n[far], n[p[0]] * percent / 100 - 1), np.searchsorted(n[far], n[p[-1]] * 100 / percent + 1, "right")
+            same = np.zeros((len(p), hi - lo), np.uint16)
+            for r in range(sketch.m):
+                same += registers[p, r][:, None] == across[r, lo:hi][None]
+            x, y = np.nonzero(same >= least_same)
+            x, y = p[x], far[lo + y]
+            fits = (x != y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            found.append(np.column_stack([x[fits], y[fits]]))
+        if not any(map(len, found)):
+            return []
+        return linked_pairs(table.column("h").to_pylist(), np.concatenate(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if not held:
+                    return
+            elif batch.num_rows == 0:
+                continue
+            else:
+                held.append(pa.Table.from_batches([batch]))
+            table = pa.concat_tables(held)
+            if table.num_rows == 0:
+                continue
+            at = np.column_stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            starts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1])
+            # The last group may go on in the next batch.
+            ends = np.append(starts[1:], len(at))
+            ready = len(starts) if batch is None else len(starts) - 1
+            out = [e for s, t in zip(starts[:ready], ends[:ready]) if t - s > 1 for e in group(table.slice(s, t - s))]
+            held = [] if batch is None else [table.slice(starts[-1])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _band_rows(bands: int, rows: int):
     salt = np.random.default_rng(7).integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -141,6 +141,34 @@ def test_near_duplicate_components_equal_brute_force(spark, size):
     assert sorted(r.n_shingles for r in got) == sorted(len(s) for own in sets.values() for s in own)
 
 
+def test_near_duplicates_among_unlike_documents_of_common_lines(spark):
+    rng = random.Random(11)
+    pool = [[f"p{k}w{j}" for j in range(12)] for k in range(60)]
+    rows = [list(itertools.chain(*rng.sample(pool, 24))) for _ in range(20_000)]
+    pairs = {}
+    for d in range(0, 6_000, 10):
+        copy = list(rows[d])
+        for k in rng.sample(range(10, 280, 12), 13):
+            copy[k] = f"n{d}k{k}"
+        a, b = shingles(" ".join(rows[d]), 2), shingles(" ".join(copy), 2)
+        assert 80 <= 100 * len(a & b) / len(a | b) < 86
+        pairs[len(rows)] = d
+        rows.append(copy)
+    got = neardup.near_duplicates(documents(spark, [(d, " ".join(words), "s") for d, words in enumerate(rows)]), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: pairs.get(d, d) for d in range(len(rows))}
+
+
+@pytest.mark.parametrize("bucket_block", [2, 1024])
+def test_a_bucket_is_used_up_block_by_block(spark, bucket_block):
+    """One register a band: unlike documents crowd the buckets, and few partners are the centre's."""
+    rng = random.Random(3)
+    pool = [[f"p{k}w{j}" for j in range(12)] for k in range(30)]
+    rows = [list(itertools.chain(*rng.sample(pool, 10))) for _ in range(60)]
+    rows += [r[:-6] + ["x"] * 2 for r in rows]
+    got = neardup.near_duplicates(documents(spark, [(d, " ".join(words), "s") for d, words in enumerate(rows)]), 2, bands=128, rows=1, bucket_block=bucket_block).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d % 60 for d in range(120)}
+
+
 def test_sketch_estimates_and_merges():
     sketch = neardup.SetSketch(512)
     rng = np.random.default_rng(1)
