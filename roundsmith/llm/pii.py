@@ -4,16 +4,16 @@ Base spans (email, ip, card, phone) are found by patterns.  Each found value is
 near an entity are its context terms; over the corpus, co-occurrence gives the pointwise mutual
 information of term and entity, and its share of the entity's information content,
 
-    disclosure(t, e) = ln(N * n(t, e) / (n(t) * n(e))) / ln(N / n(e)),
+    disclosure(t, e) = ln(N * (n(t, e) - discount) / (n(t) * n(e))) / ln(N / n(e)),
 
-says how strongly the term reveals the entity (1: fully).  Counts are of documents; n(t) counts all
-documents of the corpus.  Where a term stands in the context of such an entity it is generalised to the
-class of its length from ``generalise_at`` on, and removed from ``remove_at`` on.  A pair must
-co-occur in ``least_pairs`` documents, since one document is no evidence.
+says how strongly the term reveals the entity (1: fully).  Counts are of distinct texts, so copies are no
+evidence; n(t) counts all texts of the corpus.  The absolute discount smooths small counts: a pair seen in
+one text is judged like any other, but needs a rarer term.  Where a term stands in the context of such an entity it is generalised to the
+class of its length from ``generalise_at`` on, and removed from ``remove_at`` on.
 
 Cases: a null text is the empty text without spans; an entity in every document has no information to
 disclose; overlapping spans of different kinds are all reported, and the sanitised text replaces them as one;
-repeated rows give repeated results and count as one document each; an empty table gives no rows; further
+repeated rows give repeated results and count once; an empty table gives no rows; further
 columns are ignored; texts may be of any length.
 """
 
@@ -97,7 +97,7 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), F.lower(s["value"])).alias("value")))
 
 
-def find_personal_data(docs: DataFrame, width: int = 48, least_pairs: int = 2, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def find_personal_data(docs: DataFrame, width: int = 48, discount: float = 0.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """Per row: doc_id, text_hash, one span array per kind, and terms (start, end, action, disclosure)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
@@ -105,18 +105,19 @@ def find_personal_data(docs: DataFrame, width: int = 48, least_pairs: int = 2, g
     near = F.transform(entities, lambda e: F.struct(e["value"].alias("entity"), context_terms(F.col("text"), e, width).alias("terms")))
     found = stored(found.select("doc_id", "text_hash", *KINDS, near.alias("near")), "pii")
 
-    some = found.where(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id())
-    entity_rows = some.select("doc_id", "text_hash", "row", F.explode("near").alias("n")).select("doc_id", "text_hash", "row", "n.entity", "n.terms")
-    places = entity_rows.select("doc_id", "text_hash", "row", "entity", F.explode("terms").alias("t"))
-    n_docs = source.count()
-    pairs = places.select("row", "entity", F.col("t.value").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_pairs)
-    n_entity = entity_rows.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
+    some = found.where(F.size("near") > 0)
+    entity_rows = some.select("doc_id", "text_hash", F.explode("near").alias("n")).select("doc_id", "text_hash", "n.entity", "n.terms")
+    places = entity_rows.select("doc_id", "text_hash", "entity", F.explode("terms").alias("t"))
+    texts = source.select("text").distinct()
+    n_docs = texts.count()
+    pairs = places.select("text_hash", "entity", F.col("t.value").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    n_entity = entity_rows.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(CONTEXT_WORD), F.lit(0)))
-    n_term = source.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
     judged = pairs.join(n_entity, "entity").join(n_term, "term")
     n = F.lit(float(n_docs))
     content = F.log(n / F.col("of_entity"))
-    share = F.when(content > 0, F.log(n * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / content).otherwise(F.lit(0.0))
+    share = F.when(content > 0, F.log(n * (F.col("both") - discount) / (F.col("of_entity") * F.col("of_term"))) / content).otherwise(F.lit(0.0))
     revealing = judged.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     hits = places.select("doc_id", "text_hash", "entity", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("term")).join(revealing, ["entity", "term"])
     by_place = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))

@@ -73,6 +73,17 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
     assert "zebulon" not in clean[100] and "[EMAIL]" in clean[100] and clean[3] == rows[3][1]
 
 
+def test_an_entity_of_one_document_has_terms_and_copies_are_no_evidence(spark):
+    plain = [(i, f"plain words here of number{i} and others again", "s") for i in range(40)]
+    text = "the surgeon zebulon writes from ann0@clinic.org about plain words"
+    for copies in (1, 5):
+        docs = documents(spark, plain + [(100 + i, text, "s") for i in range(copies)])
+        for r in pii.find_personal_data(docs).where("doc_id >= 100").collect():
+            found = {text[t.start:t.end]: t.disclosure for t in r.terms}
+            assert {"surgeon", "zebulon"} <= set(found) and "plain" not in found
+            assert abs(found["zebulon"] - np.log(0.5 * 41) / np.log(41)) < 1e-9
+
+
 @pytest.mark.parametrize("operator", [
     pii.find_personal_data, lambda d: neardup.near_duplicates(d, 2), secrets.scan_secrets, lambda d: packing.pack_documents(d, tokenizer_path("word_bpe_49k.json"), "word", 1),
     lambda d: token_files.read_token_files(token_files.write_token_files(d, tokenizer_path("byte_bpe_50k.json"), "byte", 0)),
