@@ -1,14 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Base spans (email, ip, card, phone) are found by patterns.  Each found value is a protected entity.  Words
-near an entity are its context terms; over the corpus, co-occurrence gives the pointwise mutual
+Base spans (email, ip, card, phone) are found by patterns.  Each found value is a protected entity.  All words
+of a text outside base spans, short ones and numbers too, are terms; over the corpus, co-occurrence gives the pointwise mutual
 information of term and entity, and its share of the entity's information content,
 
     disclosure(t, e) = ln(N * (n(t, e) - discount) / (n(t) * n(e))) / ln(N / n(e)),
 
 says how strongly the term reveals the entity (1: fully).  Counts are of distinct texts, so copies are no
 evidence; n(t) counts all texts of the corpus.  The absolute discount smooths small counts: a pair seen in
-one text is judged like any other, but needs a rarer term.  Where a term stands in the context of such an entity it is generalised to the
+one text is judged like any other, but needs a rarer term.  Wherever a term that reveals any entity stands, in whichever text, it is generalised to the
 class of its length from ``generalise_at`` on, and removed from ``remove_at`` on.
 
 Cases: a null text is the empty text without spans; an entity in every document has no information to
@@ -35,7 +35,7 @@ PATTERNS = {
 }
 #: A cheap test that must hold for any match of the kind.
 NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: t.contains("+")}
-CONTEXT_WORD = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{N}]++"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -80,51 +80,74 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(NEEDS[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
-def context_terms(text: Column, span: Column, width: int) -> Column:
-    """Whole words of four letters or more within ``width`` code points of the span, with their places."""
-    left_at = F.greatest(span["start"] - width, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(width))
-    cut_left = left_at > 0
-    # A word that touches the outer edge of a cut window may go on outside it.
-    a = F.filter(match_spans(left, CONTEXT_WORD), lambda w: ~(cut_left & (w["start"] == 0)))
-    b = F.filter(match_spans(right, CONTEXT_WORD), lambda w: ~((F.length(right) == width) & (w["end"] == width)))
-    move = lambda at: lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), F.lower(w["value"]).alias("value"))
-    return F.concat(F.transform(a, move(left_at)), F.transform(b, move(span["end"])))
+def blanked(text: Column) -> Column:
+    """The text with spaces in place of its base spans, so that places stay."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def add(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
+        return F.struct(grown.alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
+
+    spans = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
+    out = F.aggregate(F.sort_array(spans), begin, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, out).otherwise(text)
+
+
+def term_places(text: Column, disclosures: Column) -> Column:
+    """(start, end, disclosure) of the words of ``text`` that the map holds, wherever they stand."""
+    values = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda p: F.length(p))
+    steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), F.coalesce(F.length(v), F.lit(0)).alias("size"), F.try_element_at(disclosures, F.lower(v)).alias("disclosure")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,disclosure:double>>").alias("found"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["disclosure"].alias("disclosure")))
+        return F.struct(end.alias("at"), F.when(x["disclosure"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+
+    return F.aggregate(steps, begin, add, lambda acc: acc["found"])
 
 
 def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), F.lower(s["value"])).alias("value")))
+    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))
 
 
-def find_personal_data(docs: DataFrame, width: int = 48, discount: float = 0.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def find_personal_data(docs: DataFrame, discount: float = 0.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """Per row: doc_id, text_hash, one span array per kind, and terms (start, end, action, disclosure)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
-    entities = F.concat(*map(_entities, KINDS))
-    near = F.transform(entities, lambda e: F.struct(e["value"].alias("entity"), context_terms(F.col("text"), e, width).alias("terms")))
-    found = stored(found.select("doc_id", "text_hash", *KINDS, near.alias("near")), "pii")
-
-    some = found.where(F.size("near") > 0)
-    entity_rows = some.select("doc_id", "text_hash", F.explode("near").alias("n")).select("doc_id", "text_hash", "n.entity", "n.terms")
-    places = entity_rows.select("doc_id", "text_hash", "entity", F.explode("terms").alias("t"))
-    texts = source.select("text").distinct()
-    n_docs = texts.count()
-    pairs = places.select("text_hash", "entity", F.col("t.value").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    n_entity = entity_rows.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(CONTEXT_WORD), F.lit(0)))
-    n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
-    judged = pairs.join(n_entity, "entity").join(n_term, "term")
+    found = stored(found.select("doc_id", "text_hash", *KINDS, blanked(F.col("text")).alias("rest")).withColumn("row", F.monotonically_increasing_id()), "pii")
+
+    # Copies count once: one row stands for each text.
+    one = found.groupBy("text_hash").agg(F.min("row").alias("row")).select("row")
+    texts = found.join(one, "row", "left_semi")
+    n_docs = one.count()
+    words = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+    listed = stored(texts.select("text_hash", "row", F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities"), words.alias("words")), "pii-words")
+    n_term = listed.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    some = listed.where(F.size("entities") > 0)
+    entity_rows = some.select("text_hash", F.explode("entities").alias("entity"))
+    n_entity = entity_rows.groupBy("entity").agg(F.count("*").alias("of_entity"))
+    # n(t, e) is at most n(e), so a term of more than N ** (1 - g) * n(e) ** g texts can't reach the threshold g.
+    most = n_entity.agg(F.max("of_entity")).first()[0] or 1
+    bound = 1.000001 * max(n_docs, 1) ** (1 - generalise_at) * most**generalise_at
+    in_text = some.select("text_hash", F.explode("words").alias("term")).join(n_term.where(F.col("of_term") <= bound), "term")
+    pairs = in_text.join(entity_rows, "text_hash").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_term").alias("of_term"))
+    judged = pairs.join(n_entity, "entity")
     n = F.lit(float(n_docs))
     content = F.log(n / F.col("of_entity"))
     share = F.when(content > 0, F.log(n * (F.col("both") - discount) / (F.col("of_entity") * F.col("of_term"))) / content).otherwise(F.lit(0.0))
-    revealing = judged.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    hits = places.select("doc_id", "text_hash", "entity", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("term")).join(revealing, ["entity", "term"])
-    by_place = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    term = F.struct("start", "end", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"), "disclosure")
-    by_doc = by_place.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).agg(F.sort_array(F.collect_list(term)).alias("terms"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th"))
-    return found.select("doc_id", "text_hash", *KINDS).join(by_doc, same, "left").withColumn("terms", F.coalesce("terms", F.expr("array()"))).drop("id", "th")
+    revealing = judged.select("term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    # A term that reveals an entity does so in any text, whether or not the entity is spelt out there.
+    hits = listed.select("row", F.explode("words").alias("term")).join(revealing, "term")
+    by_row = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("disclosures"))
+    by_text = listed.select("row", "text_hash").join(by_row, "row").drop("row")
+    term = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove_at, "remove").otherwise("generalise").alias("action"), t["disclosure"].alias("disclosure"))
+    placed = F.transform(term_places(F.col("rest"), F.col("disclosures")), term)
+    rows = found.join(by_text, "text_hash", "left")
+    return rows.select("doc_id", "text_hash", *KINDS, F.when(F.col("disclosures").isNotNull(), placed).otherwise(F.expr("array()")).alias("terms"))
 
 
 def sanitised(text: Column) -> Column:

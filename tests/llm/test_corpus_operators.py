@@ -84,6 +84,21 @@ def test_an_entity_of_one_document_has_terms_and_copies_are_no_evidence(spark):
             assert abs(found["zebulon"] - np.log(0.5 * 41) / np.log(41)) < 1e-9
 
 
+def test_revealing_terms_are_found_wherever_they_stand(spark):
+    filler = "some plain words " * 20
+    texts = [f"some plain words here and others number{i}" for i in range(200)]
+    texts += [f"Zebulon ox 77123 {filler} mail ann0@clinic.org, {filler}clinic end", f"{filler} ZEBULON again"]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    word = lambda d: [texts[d][t.start:t.end] for t in got[d].terms]
+    bags = [set(re.findall(r"\w+", t.replace("ann0@clinic.org", " ").lower())) for t in texts]
+    score = lambda w: np.log(202 * 0.5 / sum(w in b for b in bags)) / np.log(202)
+    revealing = {w for w in bags[200] if score(w) >= 0.7}
+    assert revealing == {"zebulon", "ox", "77123", "mail", "clinic", "end"}
+    assert [w.lower() for w in word(200)] == [w for w in re.findall(r"\w+", texts[200].replace("ann0@clinic.org", " ").lower()) if w in revealing]
+    assert word(201) == ["ZEBULON"] and not word(0)
+
+
 @pytest.mark.parametrize("operator", [
     pii.find_personal_data, lambda d: neardup.near_duplicates(d, 2), secrets.scan_secrets, lambda d: packing.pack_documents(d, tokenizer_path("word_bpe_49k.json"), "word", 1),
     lambda d: token_files.read_token_files(token_files.write_token_files(d, tokenizer_path("byte_bpe_50k.json"), "byte", 0)),
