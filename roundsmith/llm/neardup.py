@@ -4,8 +4,8 @@
    cost nothing further.
 2. A class gets a SetSketch: ``registers`` minima, each truncated to floor(1 - log_b(minimum)).  They
    are mergeable by maximum and two registers are equal with about the similarity's probability.
-   ``bands`` bands of ``rows`` registers are hashed; every class is paired with one random class, the
-   centre, of each of its buckets.
+   ``bands`` bands of ``rows`` registers are hashed; every class is paired with the centre of each of
+   its buckets, the class that comes first in one random order.
 3. The likelihood of greater, equal and smaller registers, given both exact sizes, estimates each
    pair's similarity; pairs that reach ``loose`` join classes to clusters.  A bucket's members below
    ``loose`` are compared with each other and with its members between ``loose`` and ``sure``, in
@@ -13,9 +13,13 @@
    square of a bucket's unlike members, and not with its alike ones.  Two members like the centre are
    in one cluster already; one above ``sure`` has no partner at the threshold below ``loose``, but for
    an error of five standard errors in the difference of the two estimates.
-4. Within a cluster all classes are compared in square blocks, many tasks for a large cluster: sizes
-   and sketches exclude pairs whose similarity cannot (six standard errors) reach the threshold, full sets decide the rest, and a
-   task returns only a spanning forest of its links.  Components of these links are the result.
+4. Pairs with a centre that look linked are decided on full sets, and links join classes to
+   components.  While a cluster still holds many components, the members outside its largest one, its
+   free members, are tried against random members of the largest one, round by round; a link ends a
+   member's freedom.  When the pairs with a free member are few, or no longer fall, all of them are
+   compared in blocks: sizes and sketches exclude pairs whose similarity cannot (six standard errors) reach the
+   threshold, full sets decide the rest.  Members of one component are never compared with each other,
+   so a large group of alike documents costs a few comparisons a member.
 
 With 32 bands of 4 registers a pair at similarity 0.8 shares no bucket with a probability below 1e-7.
 
@@ -23,13 +27,13 @@ Cases: a document without words (or null) has no shingles and links with nothing
 than a shingle has its whole sequence as one; rows that share a doc_id are one document and so one
 component; rows with a null doc_id form components like others and sort before any number only within
 ties (their component_id is the smallest non-null doc_id, or null); an empty table gives no rows;
-further columns are ignored.
+further columns are ignored.  Texts may be of any length: words are hashed in slices, a set is held
+whole, and blocks of sets are cut by bytes.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,38 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundsmith.llm.common import stored, text_or_empty
+from roundsmith.llm.words import WordHasher, mix, shingle_hashes, slices
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_HASHES: dict[str, int] = {}
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: str, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles of ``size`` words."""
-    words = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    found = list(map(_HASHES.get, words))
-    if None in found:
-        if len(_HASHES) > 400_000:
-            _HASHES.clear()
-            found = [None] * len(words)
-        for i, h in enumerate(found):
-            if h is None:
-                found[i] = _HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    h = np.array(found, np.uint64)
-    n = max(1, len(words) - size + 1)
-    out = np.full(n, min(size, len(words)), np.uint64)
-    for k in range(min(size, len(words))):
-        out = _mix(out * _M1 + h[k:k + n])
-    return np.unique(out)
+_M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class SetSketch:
@@ -80,18 +55,32 @@ class SetSketch:
     def __init__(self, registers: int, b: float = 1.001, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.m, self.b, self.top = registers, b, 2**16 - 2
-        self.factor = rng.integers(1, 2**63, registers, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(0, 2**63, registers, dtype=np.uint64)
-
-    def of(self, elements: np.ndarray) -> np.ndarray:
-        least = np.full(self.m, 2**32 - 1, np.uint64)
-        for a in range(0, len(elements), 1024):
-            part = elements[a:a + 1024, None] * self.factor + self.shift
-            np.minimum(least, (part >> np.uint64(32)).min(axis=0), out=least)
+        self.factor = rng.integers(1, 2**31, registers, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.shift = rng.integers(0, 2**32, registers, dtype=np.uint32)
+
+    def of_sets(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The registers of each of the (non-empty) sets of hashed elements, one row per set."""
+        out = np.empty((len(sets), self.m), np.uint32)
+        # Runs of sets are hashed together; a register's values of one run stay in the cache.
+        ends = np.cumsum([len(s) for s in sets]) if sets else np.zeros(0, np.int64)
+        a = 0
+        while a < len(sets):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 65536, "right")))
+            flat = (np.concatenate(sets[a:b]) >> np.uint64(32)).astype(np.uint32)
+            starts = np.concatenate([[0], ends[a:b - 1] - (ends[a - 1] if a else 0)])
+            value = np.empty_like(flat)
+            for r in range(self.m):
+                np.multiply(flat, self.factor[r], out=value)
+                np.add(value, self.shift[r], out=value)
+                out[a:b, r] = np.minimum.reduceat(value, starts)
+            a = b
         # The minimum of n uniform values u gives the minimum of n exponential values -ln(1 - u).
-        minimum = -np.log1p(-(least.astype(np.float64) + 0.5) / 2**32)
+        minimum = -np.log1p(-(out.astype(np.float64) + 0.5) / 2**32)
         return np.clip(np.floor(1 - np.log(minimum) / np.log(self.b) + 30_000), 0, self.top).astype(np.uint16)
 
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        return self.of_sets([elements])[0]
+
     def jaccard(self, n_u: np.ndarray, n_v: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Maximum-likelihood similarity from the counts of registers above and below, by bisection of the score."""
         u, v = n_u / (n_u + n_v), n_v / (n_u + n_v)
@@ -129,59 +118,158 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if label is None:
             label = move.select("node", F.col("to").alias("label"))
         else:
-            label = stored(label.join(move.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels-{step}")
+            label = label.join(move.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         side = lambda at: move.select(F.col("node").alias(at), F.col("to").alias(f"{at}_to"))
         moved = left.join(side("a"), "a").join(side("b"), "b").where("a_to <> b_to")
         left = stored(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-{step}")
-    return label
+    return stored(label, f"{name}-labels")
 
 
 def linked_pairs(ids: list, label_pairs: np.ndarray) -> list[tuple]:
     """A spanning forest of the links, as pairs of ids."""
-    parent = list(range(len(ids)))
+    forest = Forest(len(ids))
+    return [(ids[i], ids[j]) for i, j in label_pairs if forest.join(i, j)]
+
 
-    def root(i: int) -> int:
+class Forest:
+    """Disjoint sets of the numbers below ``n``."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    out = []
-    for i, j in label_pairs:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j]))
-    return out
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, members_per_task: int = 2048) -> DataFrame:
+    """The pairs(h, c) that reach the similarity on full sets(h, set).
+
+    The pairs of a centre ``c`` are dealt into groups; a group's rows stream past the centre's set.
+    """
+    pairs = stored(pairs.select("h", "c").distinct(), "pairs")
+    crowd = stored(pairs.groupBy("c").agg(F.ceil(F.count("*") / members_per_task).cast("int").alias("k")), "pairs-crowd")
+    dealt = pairs.join(crowd, "c").select("h", "c", F.pmod(F.xxhash64("h"), F.col("k")).cast("int").alias("salt"))
+    members = dealt.join(sets.select("h", "set"), "h").select("c", "salt", "h", "set")
+    heads = crowd.select("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(sets.select(F.col("h").alias("c"), "set"), "c")
+    rows = heads.select("c", "salt", F.lit(None).cast("binary").alias("h"), "set").union(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, None
+        for batch in batches:
+            out = []
+            at = zip(batch.column("c").to_pylist(), batch.column("salt").to_pylist(), batch.column("h").to_pylist(), batch.column("set"))
+            for c, salt, h, elements in at:
+                found = np.frombuffer(elements.as_buffer(), np.uint64)
+                if h is None:
+                    centre, own = (c, salt), found.copy()
+                elif centre == (c, salt) and alike(found, own, percent):
+                    out.append((h, c))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["h", "c"])
+
+    return rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "h").mapInArrow(run, "h binary, c binary")
+
+
+def _relabelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """members(h, label, ...) with the labels that links between labels (a, b) bring together made one."""
+    to = components(links, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    rest = [c for c in members.columns if c != "label"]
+    return stored(members.join(to, "label", "left").select(*rest, F.coalesce("to", "label").alias("label")), f"{name}-members")
+
+
+def _crowds(members: DataFrame) -> tuple[DataFrame, int, int]:
+    """Clusters of several components: (cluster, top, members, n_top, bytes); the number of pairs with a free member, and of members."""
+    per = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    crowds = per.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members"), F.max("n").alias("n_top"), F.sum("size").alias("size"))
+    crowds = stored(crowds.where("members > n_top"), "crowds")
+    total = crowds.agg(F.sum((F.col("members") - F.col("n_top")) * F.col("members")).alias("pairs"), F.sum("members").alias("members")).first()
+    return crowds, total.pairs or 0, total.members or 0
+
+
+def _tried(members: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int, step: int, tries: int = 16) -> DataFrame:
+    """Links (a, b) of labels between free members and ``tries`` random members of their cluster's largest component."""
+    of = members.join(crowds.select("cluster", "top"), "cluster")
+    slot = F.pmod(F.xxhash64("h", F.lit(step)), F.lit(tries))
+    heads = of.where("label = top").groupBy("cluster", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("h", F.lit(-step)).alias("r"), "h"))["h"].alias("c"))
+    free = of.where("label <> top").select("cluster", "h", "label", F.col("top").alias("other"))
+    pairs = stored(free.join(heads, "cluster").select("h", "c", "label", "other"), f"tried-{step}")
+    return verified(pairs, sets, percent).join(pairs, ["h", "c"]).select(F.col("label").alias("a"), F.col("other").alias("b"))
+
+
+def _compared(members: DataFrame, crowds: DataFrame, sets: DataFrame, sketch: SetSketch, percent: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) of labels from all pairs of a cluster with a free member, in pairs of blocks."""
+    of = members.join(crowds, "cluster").withColumn("free", F.col("label") != F.col("top"))
+    side = F.least(F.greatest(F.floor(block_bytes * F.col("members") / (8 * F.col("crowd_size") + 1)), F.lit(16)), F.lit(1024))
+    of = of.withColumn("kf", F.ceil((F.col("members") - F.col("n_top")) / side).cast("int")).withColumn("kl", F.ceil(F.col("n_top") / side).cast("int"))
+    # Blocks of free members are numbered from 0, those of the largest component from kf.
+    spot = F.xxhash64("h")
+    of = of.withColumn("mine", F.when(F.col("free"), F.pmod(spot, F.col("kf"))).otherwise(F.col("kf") + F.pmod(spot, F.col("kl"))).cast("int"))
+    other = F.when(F.col("free"), F.sequence(F.lit(0), F.col("kf") + F.col("kl") - 1)).otherwise(F.sequence(F.lit(0), F.col("kf") - 1))
+    of = of.select("h", "cluster", "label", "mine", other.alias("other")).join(sets.select("h", "set", "sketch"), "h").withColumn("other", F.explode("other"))
+    dealt = of.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "label", "set", "sketch")
+    # Registers agree with at least the similarity's probability; six standard errors are allowed.
+    least_same = sketch.m * (percent / 100 - 6 * (0.25 / sketch.m) ** 0.5)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(s, np.uint64) for s in group["set"]]
+        registers = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(-1, sketch.m)
+        number, names = pd.factorize(group["label"])
+        mine, i, j = group["mine"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
+        out = _links(own, registers, number, np.flatnonzero(mine == i), np.flatnonzero(mine == j), least_same, percent)
+        return pd.DataFrame({"a": [names[a] for a, _ in out], "b": [names[b] for _, b in out]}, dtype=object)
 
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a binary, b binary")
 
-def _links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: SetSketch, percent: int) -> np.ndarray:
-    """Index pairs (i of left, j of right, i < j once) whose full sets reach the similarity."""
-    n = np.array([len(s) for s in sets], np.int64)
-    margin = percent / 100 - 6 * (0.25 / sketch.m) ** 0.5
-    # A run of members is compared at a time, so that memory stays bounded by 64 rows of the block.
-    found, dense = [], _incidence(sets)
-    same_side = left is right
+
+def _links(sets: list[np.ndarray], sketches: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, least_same: float, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between labels, over all pairs of ``left`` and ``right`` rows of different labels."""
+    n, forest, out = np.array([len(s) for s in sets], np.int64), Forest(len(sets)), []
+    across, shared = np.ascontiguousarray(sketches[right].T), _shared(sets, left, right)
     for a in range(0, len(left), 64):
         own = left[a:a + 64]
-        least = np.minimum(n[own][:, None], n[right][None])
-        ok = 100 * least >= percent * np.maximum(n[own][:, None], n[right][None])
-        if same_side:
-            ok &= own[:, None] < right[None]
-        i, j = np.nonzero(ok)
-        for c in range(0, len(i), 16384):
-            p, q = own[i[c:c + 16384]], right[j[c:c + 16384]]
-            keep = _estimates(sketch, n[p], n[q], sketches[p], sketches[q]) >= margin
-            p, q = p[keep], q[keep]
-            if len(p) == 0:
-                continue
-            shared = dense(p, q) if dense else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(p, q)])
-            yes = 100 * shared >= percent * (n[p] + n[q] - shared)
-            found.append(np.column_stack([p[yes], q[yes]]))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        same = np.zeros((len(own), len(right)), np.uint16)
+        for r in range(sketches.shape[1]):
+            same += sketches[own, r][:, None] == across[r][None]
+        least, most = np.minimum(n[own][:, None], n[right][None]), np.maximum(n[own][:, None], n[right][None])
+        x, y = np.nonzero((same >= least_same) & (100 * least >= percent * most) & (labels[own][:, None] != labels[right][None]))
+        if shared is not None:
+            both = shared[a + x, y]
+            yes = 100 * both >= percent * (n[own[x]] + n[right[y]] - both)
+            x, y = x[yes], y[yes]
+        else:
+            likely = np.argsort(-same[x, y].astype(np.int64), kind="stable")
+            x, y = x[likely], y[likely]
+        for p, q in zip(own[x].tolist(), right[y].tolist()):
+            u, v = int(labels[p]), int(labels[q])
+            if forest.root(u) != forest.root(v) and (shared is not None or alike(sets[p], sets[q], percent)):
+                forest.join(u, v)
+                out.append((u, v))
+    return out
 
 
-def _incidence(sets: list[np.ndarray], most: int = 24_000_000):
-    """Shared elements by one matrix product where elements repeat enough for it to be small."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int = 8_000_000) -> np.ndarray | None:
+    """Shared elements by one matrix product, where elements repeat enough for the matrix to be small."""
     if len(sets) < 16:
         return None
     elements, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -189,33 +277,37 @@ def _incidence(sets: list[np.ndarray], most: int = 24_000_000):
         return None
     matrix = np.zeros((len(sets), len(elements)), np.float32)
     matrix[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), where] = 1
-    table = (matrix @ matrix.T).astype(np.int64)
-    return lambda p, q: table[p, q]
+    return (matrix[left] @ matrix[right].T).astype(np.int64)
+
 
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, loose: float = 0.4, sure: float = 0.8, bucket_block: int = 1024, block_bytes: int = 16 << 20, spare: int = 256) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, loose: float = 0.4, block: int = 64, max_splits: int = 32, max_block: int = 4096, sure: float = 0.8, bucket_block: int = 1024) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    ``spare``: members of clusters go to blocks when a member has so many open pairs on average; it changes the order of work only.
+    """
     sketch = SetSketch(bands * rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h, sk = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, shingle_words)
+        hasher = WordHasher()
+        for batch in slices(batches):
+            n, h, full = [], [], []
+            for s in shingle_hashes(*hasher.column(batch.column("text")), shingle_words):
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sk.append(sketch.of(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "n", "h", "sketch"])
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    read_docs = stored(base.mapInArrow(read, "doc_id long, n long, h binary, sketch binary"), "sketches")
+                if len(s):
+                    full.append(s)
+            registers = iter(sketch.of_sets(full))
+            sk = [next(registers).tobytes() if x else None for x in n]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "th", "n", "h", "sketch"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+    read_docs = stored(base.mapInArrow(read, "doc_id long, th long, n long, h binary, sketch binary"), "sketches")
     full = read_docs.where("n > 0")
-    # A class is named by its hash; its representative is its smallest doc_id.
-    heads = full.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    classes = stored(full.groupBy("h").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    # A class is named by its hash; one of its rows stands for it.
+    classes = stored(full.groupBy("h").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("head")), "classes")
 
     banded = classes.mapInArrow(_band_rows(bands, rows), "key long, h binary")
-    centre = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("r"), F.col("h").alias("h"))).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.h").alias("c"))
+    centre = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("h").alias("r"), F.col("h").alias("h"))).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.h").alias("c"))
     placed = stored(banded.join(centre, "key").where("h <> c").select("key", "h", "c"), "placed")
     side = lambda key, to: classes.select(F.col("h").alias(key), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}"))
     pairs = placed.select("h", "c").distinct().join(side("h", 1), "h").join(side("c", 2), "c")
@@ -235,59 +327,52 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     counts = rest.groupBy("key").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_free")).where("n_free > 0 and n_linked + n_free > 1")
     parts = lambda n: F.ceil(F.col(n) / bucket_block).cast("int")
     dealt = rest.join(counts, "key").select("key", "h", "linked", parts("n_free").alias("kf"), parts("n_linked").alias("kl"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), F.when(F.col("linked"), F.col("kl")).otherwise(F.col("kf"))).cast("int")).join(classes, "h")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), F.when(F.col("linked"), F.col("kl")).otherwise(F.col("kf"))).cast("int")).join(classes.drop("head"), "h")
     # Blocks of free members are numbered from 0, those of linked members from kf: only pairs with a free block are compared.
     other = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("kf") - 1)).otherwise(F.sequence(F.lit(0), F.col("kf") + F.col("kl") - 1))
     dealt = dealt.withColumn("mine", F.when(F.col("linked"), F.col("kf") + F.col("mine")).otherwise(F.col("mine"))).withColumn("other", F.explode(other))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "n", "h", "sketch")
     further = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_buckets(sketch, percent), "a binary, b binary")
 
-    cluster = components(near.union(further), "clusters")
-    cluster = cluster.select(F.col("node").alias("h"), F.col("label").alias("cluster"))
+    cluster = components(near.union(further), "clusters").select(F.col("node").alias("h"), F.col("label").alias("cluster"))
 
     # Only members of clusters of two classes or more need their sets: one text of each class.
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
-    members = cluster.join(sizes, "cluster").join(heads, "h")
-    key = F.xxhash64("text")
-    wanted = members.join(read_docs.where("n > 0").select("doc_id", "h"), "h").where("doc_id <=> rep").select("doc_id", "h", "cluster", "members").distinct()
+    wanted = cluster.join(classes, "h").select("h", "head.doc_id", "head.th").withColumnsRenamed({"doc_id": "id", "th": "hash"})
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, cl, mem, st, sk = [], [], [], [], []
-            for text, name, c, m in zip(*(batch.column(x).to_pylist() for x in ("text", "h", "cluster", "members"))):
-                s = shingle_set(text, shingle_words)
-                if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == name:
-                    h.append(name), cl.append(c), mem.append(m), st.append(s.tobytes()), sk.append(sketch.of(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(cl, pa.binary()), pa.array(mem, pa.int64()), pa.array(st, pa.binary()), pa.array(sk, pa.binary())], names=["h", "cluster", "members", "set", "sketch"])
-
-    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.doc_id)).select("text", "h", "cluster", "members")
-    held = stored(texts.mapInArrow(sets, "h binary, cluster binary, members long, set binary, sketch binary"), "sets")
-
-    # A cluster of n classes is dealt into blocks; each pair of blocks is one task's work.
-    side_rows = F.least(F.greatest(F.lit(block), F.ceil(F.col("members") / max_splits)), F.lit(max_block))
-    dealt = held.withColumn("k", F.ceil(F.col("members") / side_rows).cast("int")).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "set", "sketch")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("h").sort_values("h", ignore_index=True)
-        own = [np.frombuffer(s, np.uint64) for s in group["set"]]
-        registers = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(-1, sketch.m)
-        left = np.flatnonzero(group["mine"] == group["i"].iloc[0])
-        right = left if group["i"].iloc[0] == group["j"].iloc[0] else np.flatnonzero(group["mine"] == group["j"].iloc[0])
-        out = linked_pairs(group["h"].tolist(), _links(own, registers, left, right, sketch, percent))
-        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
-
-    links = dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a binary, b binary")
-    joined = components(links, "links").select(F.col("node").alias("h"), "label")
+        hasher = WordHasher()
+        for batch in slices(batches):
+            own = list(shingle_hashes(*hasher.column(batch.column("text")), shingle_words))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([x.tobytes() for x in sketch.of_sets(own)], pa.binary())], names=["h", "set", "sketch"])
+
+    same = base.doc_id.eqNullSafe(wanted.id) & (base.th == wanted.hash)
+    texts = base.join(wanted, same).select("h", "text").dropDuplicates(["h"])
+    held = stored(texts.mapInArrow(sets, "h binary, set binary, sketch binary"), "sets")
+
+    # Pairs with a centre that look linked; then free members against random ones; then all pairs with a free member.
+    members = stored(cluster.join(classes.select("h", F.col("n").alias("size")), "h").withColumn("label", F.col("h")), "members")
+    likely = judged.where(F.col("estimate") >= percent / 100 - 0.05)
+    members = _relabelled(members, verified(likely, held, percent).toDF("a", "b"), "links")
+    crowds, open_pairs, n_open = _crowds(members)
+    step = 0
+    while open_pairs > spare * n_open:
+        step += 1
+        members = _relabelled(members, _tried(members, crowds, held, percent, step), f"tried-{step}")
+        before = open_pairs
+        crowds, open_pairs, n_open = _crowds(members)
+        if open_pairs > 0.8 * before:
+            break
+    if open_pairs:
+        crowds = crowds.withColumnRenamed("size", "crowd_size")
+        members = _relabelled(members, _compared(members, crowds, held, sketch, percent, block_bytes), "compared")
 
     # Rows of one doc_id with different texts are one document: they link their classes.
-    mine = full.select("doc_id", "h").join(joined, "h", "left").select("doc_id", "h", F.coalesce("label", "h").alias("label"))
-    mine = stored(mine, "labels")
+    mine = stored(full.select("doc_id", "h").join(members.select("h", "label"), "h", "left").select("doc_id", F.coalesce("label", "h").alias("label")), "labels")
     twice = mine.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("label").alias("all")).where("a <> b")
     if not twice.isEmpty():
         more = components(twice.select("a", F.explode("all").alias("b")), "repeated").select(F.col("node").alias("label"), F.col("label").alias("to"))
-        mine = mine.join(more, "label", "left").select("doc_id", "h", F.coalesce("to", "label").alias("label"))
-    least = mine.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        mine = mine.join(more, "label", "left").select("doc_id", F.coalesce("to", "label").alias("label"))
+    least = stored(mine.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of = mine.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = read_docs.select("doc_id", "n").join(of.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -296,7 +381,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def _within_buckets(sketch: SetSketch, percent: int):
     """Rows sorted by (key, i, j), a group being two blocks of a bucket: a spanning forest of the pairs that may reach the similarity."""
-    # Registers agree with at least the similarity's probability; six standard errors are allowed, as in ``_links``.
+    # Registers agree with at least the similarity's probability; six standard errors are allowed.
     least_same = sketch.m * (percent / 100 - 6 * (0.25 / sketch.m) ** 0.5)
 
     def group(table: pa.Table) -> list[tuple]:
@@ -356,7 +441,7 @@ def _band_rows(bands: int, rows: int):
                 registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, bands, rows).astype(np.uint64)
                 keys = np.zeros(registers.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
-                    keys = _mix(keys * _M2 + registers[:, :, r] * salt[:, r])
+                    keys = mix(keys * _M2 + registers[:, :, r] * salt[:, r])
                 names = np.repeat(np.arange(batch.num_rows), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("h").take(pa.array(names))], names=["key", "h"])
 

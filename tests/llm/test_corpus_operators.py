@@ -160,7 +160,7 @@ def test_near_duplicate_components_equal_brute_force(spark, size):
         if 100 * len(s & t) >= 80 * len(s | t):
             a, b = root(d), root(e)
             parent[max(a, b)] = min(a, b)
-    got = neardup.near_duplicates(documents(spark, table), size, block=16).collect()
+    got = neardup.near_duplicates(documents(spark, table), size, block_bytes=2048).collect()
     assert len(got) == len(table)
     assert {(r.doc_id, r.component_id) for r in got} == {(d, root(d)) for d in sets}
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
