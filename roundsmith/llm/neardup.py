@@ -323,8 +323,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     near = judged.where(F.col("estimate") >= loose).select(F.col("h").alias("a"), F.col("c").alias("b"))
 
     # What the centre doesn't settle: members unlike it go with each other and with those that are like it, but not surely.
-    rest = placed.join(judged.where(F.col("estimate") < sure), ["h", "c"]).select("key", "h", (F.col("estimate") >= loose).alias("linked"))
+    rest = stored(placed.join(judged.where(F.col("estimate") < sure), ["h", "c"]).select("key", "h", (F.col("estimate") >= loose).alias("linked")), "rest")
     counts = rest.groupBy("key").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_free")).where("n_free > 0 and n_linked + n_free > 1")
+    counts = stored(counts, "rest-counts")
     parts = lambda n: F.ceil(F.col(n) / bucket_block).cast("int")
     dealt = rest.join(counts, "key").select("key", "h", "linked", parts("n_free").alias("kf"), parts("n_linked").alias("kl"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), F.when(F.col("linked"), F.col("kl")).otherwise(F.col("kf"))).cast("int")).join(classes.drop("head"), "h")
