@@ -36,37 +36,48 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+class _Ids(dict):
+    """Ids of chunks and pre-tokens; a missing one is asked from ``ask`` and kept while there is room."""
+
+    def __init__(self, ask, max_entries: int):
+        super().__init__()
+        self.ask, self.max_entries = ask, max_entries
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.ask(key)
+        if len(key) <= 48 and len(self) < self.max_entries:
+            self[key] = got
+        return got
+
+
 class ChunkEncoder:
     """``ids(text)`` gives the text's ids as little-endian unsigned 32-bit bytes.
 
     ``kind``: "byte" (blanks belong to the following word) or "word" (blanks dropped, lower case).
-    ``max_entries`` bounds each cache; a full cache takes no more entries, which changes speed only.
+    At most ``max_entries`` strings of at most 48 characters are kept, some 200 bytes each; a full memory takes
+    no more, which changes speed only.  Chunks and pre-tokens share it: a chunk that is one pre-token has its ids.
+
+    Cases: the empty text has no ids; a text without blanks is one chunk, whatever its length; a text
+    that holds a special token's string is encoded as the library does.
     """
 
-    def __init__(self, path: str, kind: str, max_entries: int = 500_000):
+    def __init__(self, path: str, kind: str, max_entries: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.kind, self.max_entries = self.whole.model, kind, max_entries
+        self.model, self.kind = self.whole.model, kind
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.rule = _BYTE_RULE if kind == "byte" else _WORD_RULE
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            spelled = piece.encode().decode("latin-1").translate(_ALPHABET)
-            got = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(piece) <= 64 and len(self.pieces) < self.max_entries:
-                self.pieces[piece] = got
-        return got
+        self.known = _Ids(self._ask, max_entries)
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self._piece, self.rule.findall(chunk)))
-        if len(chunk) <= 64 and len(self.chunks) < self.max_entries:
-            self.chunks[chunk] = got
-        return got
+    def _ask(self, chunk: str) -> bytes:
+        letters = chunk[1:] if self.kind == "byte" and chunk[:1] == " " else chunk
+        if not letters.isalpha():
+            parts = self.rule.findall(chunk)
+            if len(parts) != 1 or parts[0] != chunk:
+                return b"".join(map(self.known.__getitem__, parts))
+        spelled = chunk.encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -76,20 +87,18 @@ class ChunkEncoder:
         if self.kind == "word":
             chunks = text.lower().split()
         elif any(s in text for s in _MIXED_BLANKS):
-            return b"".join(map(self._piece, self.rule.findall(text)))
+            chunks = self.rule.findall(text)
         else:
             chunks = text.replace(" ", "\x00 ").split("\x00")
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            found = [f if f is not None else self._chunk(c) for f, c in zip(found, chunks)]
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:
-    """The Python worker's encoder, kept from task to task."""
+    """The Python worker's encoder, kept from task to task; another vocabulary takes its place."""
     if (path, kind) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, kind] = ChunkEncoder(path, kind)
     return _ENCODERS[path, kind]

@@ -6,7 +6,8 @@ File format (little-endian), one file image per row of the shard table:
 * documents: i64 doc_id, u8 "doc_id is null", u32 ids, one array each;
 * block index: u32 minimum, u8 width, u32 byte offset of the packed block, u32 first exception, one array each;
 * exceptions: u8 place in the block, u32 value above the minimum, one array each;
-* packed blocks: the low ``width`` bits of every value above the block's minimum.
+* packed blocks, from the next multiple of four bytes: the low ``width`` bits of every value above the block's
+  minimum, one after the other from the lowest bit on.
 
 The width of a block holds the value at a chosen percentile of the block; larger values are
 exceptions.  The index lets a reader decode any block alone.
@@ -40,6 +41,33 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.where(values == 0, 0, np.frexp(values.astype(np.float64))[1]).astype(np.uint8)
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values, one after the other, as rows of 32-bit words."""
+    n, size = values.shape
+    columns = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    words = np.zeros((width * size // 32 + 1, n), np.uint32)
+    for i in range(size):
+        word, shift = divmod(i * width, 32)
+        moved = columns[i] << np.uint64(shift)
+        words[word] |= moved.astype(np.uint32)
+        if shift + width > 32:
+            words[word + 1] |= (moved >> np.uint64(32)).astype(np.uint32)
+    return words[:-1].T
+
+
+def unpack_bits(words: np.ndarray, width: int, size: int) -> np.ndarray:
+    """``size`` values of ``width`` bits from each row of 32-bit words."""
+    rows = np.ascontiguousarray(words.T).astype(np.uint64)
+    out, mask = np.empty((size, words.shape[0]), np.uint32), np.uint64((1 << width) - 1)
+    for i in range(size):
+        word, shift = divmod(i * width, 32)
+        value = rows[word] >> np.uint64(shift)
+        if shift + width > 32:
+            value |= rows[word + 1] << np.uint64(32 - shift)
+        out[i] = value & mask
+    return out.T
+
+
 def encode_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.9) -> bytes:
     """The file image of documents whose ids lie one after the other in ``ids``."""
     n_blocks = -(-len(ids) // BLOCK)
@@ -56,22 +84,21 @@ def encode_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, percentile:
     rows, places = np.nonzero(over)
     offset = np.zeros(n_blocks + 1, np.int64)
     np.cumsum(width.astype(np.int64) * (BLOCK // 8), out=offset[1:])
-    packed = np.zeros(int(offset[-1]), np.uint8)
-    for w in np.unique(width).tolist():
-        if w == 0:
-            continue
-        for some in np.array_split(np.flatnonzero(width == w), max(1, int((width == w).sum()) // 512)):
-            raw = np.ascontiguousarray(above[some]).astype("<u4").view(np.uint8).reshape(len(some), BLOCK, 4)
-            bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :w].reshape(len(some), -1)
-            packed[offset[some][:, None] + np.arange(w * BLOCK // 8)] = np.packbits(bits, axis=1, bitorder="little")
+    packed = np.zeros(int(offset[-1]) // 4, "<u4")
+    for w in np.unique(width[width > 0]).tolist():
+        some = np.flatnonzero(width == w)
+        at = offset[some, None] // 4 + np.arange(w * BLOCK // 32)
+        packed[at] = pack_bits(above[some], w)
     first_exception = np.searchsorted(rows, np.arange(n_blocks))
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([
+    parts = [
         _HEADER.pack(b"PFR1", BLOCK, len(doc_ids), n_blocks, len(rows), len(ids)),
         keys.tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes(),
         low.astype("<u4").tobytes(), width.tobytes(), offset[:-1].astype("<u4").tobytes(), first_exception.astype("<u4").tobytes(),
-        places.astype(np.uint8).tobytes(), above[rows, places].astype("<u4").tobytes(), packed.tobytes(),
-    ])
+        places.astype(np.uint8).tobytes(), above[rows, places].astype("<u4").tobytes(),
+    ]
+    parts.append(bytes(-sum(map(len, parts)) % 4))
+    return b"".join([*parts, packed.tobytes()])
 
 
 def decode_file(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -89,18 +116,11 @@ def decode_file(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
     keys, none, lengths = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
     low, width, offset, first = take("<u4", n_blocks), take("u1", n_blocks), take("<u4", n_blocks), take("<u4", n_blocks)
-    places, values, packed = take("u1", n_over), take("<u4", n_over), np.frombuffer(image, np.uint8, offset=at)
+    places, values, packed = take("u1", n_over), take("<u4", n_over), np.frombuffer(image, "<u4", offset=at + -at % 4)
     grid = np.zeros((n_blocks, block), np.uint32)
-    for w in np.unique(width).tolist():
-        if w == 0:
-            continue
-        for some in np.array_split(np.flatnonzero(width == w), max(1, int((width == w).sum()) // 512)):
-            raw = packed[offset[some].astype(np.int64)[:, None] + np.arange(w * block // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(some), block, w)
-            size = 2 if w <= 16 else 4
-            wide = np.zeros((len(some), block, size * 8), np.uint8)
-            wide[:, :, :w] = bits
-            grid[some] = np.packbits(wide.reshape(len(some), -1), axis=1, bitorder="little").view(f"<u{size}")
+    for w in np.unique(width[width > 0]).tolist():
+        some = np.flatnonzero(width == w)
+        grid[some] = unpack_bits(packed[offset[some, None] // 4 + np.arange(w * block // 32)], w, block)
     rows = np.repeat(np.arange(n_blocks), np.diff(np.append(first, n_over).astype(np.int64)))
     grid[rows, places] = values
     grid += low[:, None]
