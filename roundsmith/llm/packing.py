@@ -1,14 +1,17 @@
 """Hierarchical residual packing of documents into fixed-length training sequences.
 
-Every task packs its own pieces best-fit (longest first) and emits bins that are nearly full.
-Underfull bins are items of the next round, in which the bins of ``fan_in`` neighbouring groups meet
-in one group; rounds go on until one group is left.  A group forwards at most ``max_forward`` of its
-emptiest bins, and the other bins are final as they are, so that no task grows with the corpus.
-Nothing is ever dropped: a bin that finds no partner is a sequence of its own.
+Every task packs its own pieces best-fit (longest first), ``items_per_group`` at a time, and emits bins that
+are nearly full.  Underfull bins are items of the next round, in which ``fan_in`` groups meet; rounds go on
+until one group is left.  No bin is left out of a round unless no bin of the whole corpus could join it.
+
+A round packs residual classes instead of bins: bins of one size are alike, so a group's items are at most
+``capacity`` sizes with their numbers, best-fit places as many at a time as there are alike, and the result
+is a list of patterns with their numbers.  A bin finds its place by its rank within its size.  So no task
+grows with the corpus, however many underfull bins meet.
 
 Cases: a null text is the empty text and still holds the end id; documents longer than a sequence are
-cut into full pieces and a last, possibly shorter piece; repeated doc_ids are packed row by row; an
-empty table gives no rows; further columns are ignored.
+cut into full pieces and a last, possibly shorter piece, whatever their length; repeated doc_ids are packed
+row by row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundsmith.llm.common import stored, text_or_empty
 from roundsmith.llm.encoding import encoder
+from roundsmith.llm.words import slices
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -54,7 +58,7 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 PIECE = pa.schema([
-    ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("grp", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()),
+    ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("leaf", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()),
 ])
 
 
@@ -71,10 +75,10 @@ def local_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
             bins, at = best_fit([r[3] for r in rows], capacity)
             names = [(task << 32) + n_bins + b for b in bins]
             n_bins += max(bins) + 1
-            columns = [*zip(*rows), [task] * len(rows), names, at]
+            columns = [*zip(*rows), [names[0]] * len(rows), names, at]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text) + end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
@@ -87,53 +91,94 @@ def local_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
             yield packed()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, at long"), "pieces")
-
-
-def merge_round(bins: DataFrame, capacity: int) -> DataFrame:
-    """bins(grp, bin, size) → (bin, parent, shift, grp): best-fit of whole bins within each group."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "bin"], ascending=[False, True], ignore_index=True)
-        number, at = best_fit(group["size"].tolist(), capacity)
-        first = group["bin"].groupby(pd.Series(number)).first()
-        return pd.DataFrame({"bin": group["bin"], "parent": pd.Series(number).map(first), "shift": at, "grp": group["grp"]})
+    return stored(source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, leaf long, bin long, at long"), "pieces")
+
+
+def best_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit of ``counts[size]`` items of each size, longest first: (sizes of a bin, number of such bins)."""
+    by_residual: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    mask = 0
+
+    def put(residual: int, pattern: tuple[int, ...], n: int) -> None:
+        nonlocal mask
+        if n:
+            by_residual[residual].append((pattern, n))
+            mask |= 1 << residual
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            fitting = mask >> size
+            if not fitting:
+                most = capacity // size
+                put(capacity - most * size, (size,) * most, left // most)
+                put(capacity - left % most * size, (size,) * (left % most), int(left % most > 0))
+                break
+            residual = size + (fitting & -fitting).bit_length() - 1
+            pattern, n = by_residual[residual].pop()
+            if not by_residual[residual]:
+                mask &= ~(1 << residual)
+            put(residual, pattern, n - min(n, left))
+            put(residual - size, (*pattern, size), min(n, left))
+            left -= min(n, left)
+    return [p for patterns in by_residual.values() for p in patterns]
 
-    return bins.groupBy("grp").applyInPandas(pack, "bin long, parent long, shift long, grp long")
 
+def merge_round(bins: DataFrame, groups: int, capacity: int, name: str) -> DataFrame:
+    """bins(leaf, bin, size) → (bin, parent, shift, leaf, size): best-fit of whole bins within each of ``groups`` groups.
 
-def pack_documents(
-    docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 4096, full: float = 0.98, fan_in: int = 8, max_forward: int = 2000, items_per_group: int = 32768
-) -> DataFrame:
+    ``leaf`` is the group of the first round that a bin comes from; ranks are counted within it, and leaves follow each other.
+    """
+    bins = bins.withColumn("grp", F.pmod(F.xxhash64("leaf"), F.lit(groups)).cast("int"))
+    counts = stored(bins.groupBy("grp", "leaf", "size").agg(F.count("*").alias("n")), f"{name}-counts")
+    before = Window.partitionBy("grp", "size").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(counts.select("leaf", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{name}-starts")
+
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        used: dict[int, int] = defaultdict(int)
+        rows = []
+        for number, (pattern, n) in enumerate(best_fit_patterns(dict(zip(group["size"].tolist(), group["n"].tolist())), capacity)):
+            shift = 0
+            for size in pattern:
+                if len(pattern) > 1:
+                    rows.append((group["grp"].iloc[0], size, used[size], used[size] + n, number, shift))
+                used[size] += n
+                shift += size
+        return pd.DataFrame(rows, columns=["grp", "size", "lo", "hi", "pattern", "shift"])
+
+    sizes = counts.groupBy("grp", "size").agg(F.sum("n").alias("n"))
+    ranges = sizes.groupBy("grp").applyInPandas(plan, "grp int, size long, lo long, hi long, pattern long, shift long")
+    # At most as many ranges for a size as there are patterns.
+    ranges = stored(ranges.groupBy("grp", "size").agg(F.collect_list(F.struct("lo", "hi", "pattern", "shift")).alias("ranges")), f"{name}-ranges")
+    own = Window.partitionBy("leaf", "size").orderBy("bin")
+    ranked = stored(bins.withColumn("rank", F.row_number().over(own).cast("long") - 1), f"{name}-ranks")
+    ranked = ranked.join(starts, ["leaf", "size"]).withColumn("rank", F.col("rank") + F.col("start"))
+    place = F.filter("ranges", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))
+    found = ranked.join(ranges, ["grp", "size"]).withColumn("place", F.element_at(F.when(F.size(place) > 0, place), 1)).where("place is not null")
+    found = found.select("grp", "leaf", "bin", "size", "place.pattern", (F.col("rank") - F.col("place.lo")).alias("k"), "place.shift")
+    found = stored(found, f"{name}-found")
+    heads = found.where("shift = 0").select("grp", "pattern", "k", F.col("bin").alias("parent"), F.col("leaf").alias("parent_leaf"))
+    return found.join(heads, ["grp", "pattern", "k"]).select("bin", "parent", "shift", F.col("parent_leaf").alias("leaf"), "size")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 4096, full: float = 0.98, fan_in: int = 64, items_per_group: int = 32768) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = local_pieces(docs, tokenizer, kind, end_id, capacity, items_per_group)
-    bins = pieces.groupBy("grp", "bin").agg(F.sum("length").alias("size"))
+    bins = stored(pieces.groupBy("leaf", "bin").agg(F.sum("length").alias("size")), "bins")
     placed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    groups = pieces.agg(F.max("grp")).first()[0] or 0
-    level = 0
-    while groups > 0:
-        level, groups = level + 1, groups // fan_in
-        open_bins = _emptiest(bins.where(F.col("size") < int(full * capacity)), max_forward)
-        moved = stored(merge_round(open_bins.withColumn("grp", F.floor(F.col("grp") / fan_in)), capacity).join(bins.select("bin", "size"), "bin"), f"bins-{level}")
-        step = moved.where("bin <> parent or shift > 0").select(F.col("bin").alias("sequence_id"), "parent", "shift")
+    leaves = bins.select("leaf").distinct().count()
+    groups, level = max(1, leaves), 0
+    while leaves and (level == 0 or groups > 1):
+        level, groups = level + 1, -(-groups // fan_in)
+        least = bins.agg(F.min("size")).first()[0]
+        # A bin that even the smallest one would overfill is final.
+        open_bins = bins.where((F.col("size") < int(full * capacity)) & (F.col("size") + least <= capacity))
+        moved = stored(merge_round(open_bins, groups, capacity, f"round-{level}"), f"moved-{level}")
+        step = moved.where("shift > 0").select(F.col("bin").alias("sequence_id"), "parent", "shift")
         placed = placed.join(step, "sequence_id", "left").select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
         )
-        bins = moved.groupBy("grp", F.col("parent").alias("bin")).agg(F.sum("size").alias("size"))
+        if groups > 1:
+            merged = moved.groupBy("leaf", F.col("parent").alias("bin")).agg(F.sum("size").alias("size"))
+            bins = stored(bins.join(moved.select("bin"), "bin", "left_anti").unionByName(merged), f"bins-{level}")
     return placed
-
-
-def _emptiest(bins: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` of the emptiest bins of each group; ranks come from a histogram of sizes, so no group meets in one task."""
-    sizes = bins.groupBy("grp", "size").agg(F.count("*").alias("n"))
-    below = sizes.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("sizes"))
-    # A histogram has at most ``capacity`` entries.
-    cut = below.select(
-        "grp",
-        F.aggregate(
-            "sizes",
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size")),
-            lambda acc, x: F.when(acc["n"] < most, F.struct((acc["n"] + x["n"]).alias("n"), x["size"].alias("size"))).otherwise(acc),
-        )["size"].alias("largest"),
-    )
-    return bins.join(cut, "grp").where(F.col("size") <= F.col("largest")).drop("largest")
