@@ -9,12 +9,17 @@ information of term and entity, and its share of the entity's information conten
 says how strongly the term reveals the entity (1: fully).  Counts are of distinct texts, so copies are no
 evidence; n(t) counts all texts of the corpus.  The absolute discount smooths small counts: a pair seen in
 one text is judged like any other, but needs a rarer term.  Wherever a term that reveals any entity stands, in whichever text, it is generalised to the
-class of its length from ``generalise_at`` on, and removed from ``remove_at`` on.
+class of its shape (name, number, code, word) from ``generalise_at`` on, and removed from ``remove_at`` on.
+
+Terms and entities are keyed by 64-bit hashes.  Entities that stand in the same texts reveal alike and are
+counted as one class.  Before words are joined with the revealing terms, a filter of fixed size (2 MB,
+broadcast) drops most that can't be among them; the join then decides.
 
 Cases: a null text is the empty text without spans; an entity in every document has no information to
 disclose; overlapping spans of different kinds are all reported, and the sanitised text replaces them as one;
 repeated rows give repeated results and count once; an empty table gives no rows; further
-columns are ignored; texts may be of any length.
+columns are ignored.  Texts may be of any length: places of matches are summed in chunks, in time that grows
+little faster than the number of matches.
 """
 
 from __future__ import annotations
@@ -39,20 +44,46 @@ TERM = r"[\p{L}\p{N}]++"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Spans (start, end, value) of all matches in code points: the pieces between matches place them."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+#: Matches are placed in chunks of so many, so that arrays grow by short steps.
+CHUNK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def match_spans(text: Column, pattern: str, keep, fields: dict[str, str]) -> Column:
+    """Spans (start, end, ...) in code points of the matches that ``keep``: the pieces between matches place them.
+
+    ``keep`` maps a match to whether it stays, or gives a struct of further ``fields`` (name to type) and null for none.
+    """
+    kind = "array<struct<start:int,end:int" + "".join(f",{f}:{t}" for f, t in fields.items()) + ">>"
+    none = F.array().cast(kind)
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], one)).alias("spans"))
+        one = lambda more: F.array(F.struct(start.alias("start"), end.alias("end"), *(more[f].alias(f) for f in fields)))
+        grown = _let(F.when(x["value"].isNotNull(), keep(x["value"])), lambda more: F.when(more.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], one(more))))
+        return F.struct(end.alias("at"), grown.alias("spans"))
+
+    def chunk(c: Column, at: Column) -> Column:
+        return F.aggregate(c, F.struct(at.alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
 
-    return F.aggregate(steps, begin, add, lambda acc: acc["spans"])
+    def starts(chunks: Column) -> Column:
+        length = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(length, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+    def placed(steps: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, CHUNK))
+        many = _let(cut, lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), chunk)))
+        return F.when(F.size(steps) <= CHUNK, chunk(steps, F.lit(0))).otherwise(many)
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    return _let(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -76,87 +107,101 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    found = F.filter(match_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    found = match_spans(text, PATTERNS[kind], lambda v: F.when(_valid(kind, v), F.struct(v.alias("value"))), {"value": "string"})
     return F.when(NEEDS[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
-def blanked(text: Column) -> Column:
-    """The text with spaces in place of its base spans, so that places stay."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def blanked(text: Column, kind: str) -> Column:
+    """The text with spaces in place of its spans of one kind, so that places stay."""
+    spans = F.col(kind)
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+    # Where each code point is one byte, a piece of the bytes is found without counting from the text's begin.
+    by_bytes = F.zip_with(begins, ends, lambda a, b: F.substring(text.cast("binary"), a + 1, b - a).cast("string"))
+    between = F.when(F.octet_length(text) == F.length(text), by_bytes).otherwise(F.zip_with(begins, ends, lambda a, b: F.substring(text, a + 1, b - a)))
+    blanks = F.transform(spans, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    out = F.array_join(F.zip_with(between, blanks, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
+    return F.when(F.size(spans) > 0, out).otherwise(text)
 
-    def add(acc: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], acc["at"])
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
-        return F.struct(grown.alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
 
-    spans = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    out = F.aggregate(F.sort_array(spans), begin, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
 
 
-def term_places(text: Column, disclosures: Column) -> Column:
-    """(start, end, disclosure) of the words of ``text`` that the map holds, wherever they stand."""
-    values = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(text, TERM, -1), lambda p: F.length(p))
-    steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), F.coalesce(F.length(v), F.lit(0)).alias("size"), F.try_element_at(disclosures, F.lower(v)).alias("disclosure")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,disclosure:double>>").alias("found"))
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["disclosure"].alias("disclosure")))
-        return F.struct(end.alias("at"), F.when(x["disclosure"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
-    return F.aggregate(steps, begin, add, lambda acc: acc["found"])
+FILTER_WORDS = 1 << 18
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))
+def term_filter(terms: DataFrame) -> DataFrame:
+    """One row with 2**24 bits: the bit of each term's hash is set. Its size is the same for any number of terms."""
+    at = F.pmod("term", F.lit(FILTER_WORDS * 64))
+    bits = terms.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(term, 64) as int))")).alias("bits"))
+    words = terms.sparkSession.range(FILTER_WORDS).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    return words.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"]).alias("filter"))
 
 
 def find_personal_data(docs: DataFrame, discount: float = 0.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """Per row: doc_id, text_hash, one span array per kind, and terms (start, end, action, disclosure)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
-    found = stored(found.select("doc_id", "text_hash", *KINDS, blanked(F.col("text")).alias("rest")).withColumn("row", F.monotonically_increasing_id()), "pii")
+    for kind in KINDS:
+        found = found.withColumn("text", blanked(F.col("text"), kind))
+    found = stored(found.withColumnRenamed("text", "rest").withColumn("row", F.monotonically_increasing_id()), "pii")
 
     # Copies count once: one row stands for each text.
-    one = found.groupBy("text_hash").agg(F.min("row").alias("row")).select("row")
-    texts = found.join(one, "row", "left_semi")
+    one = stored(found.groupBy("text_hash").agg(F.min("row").alias("row")).select("row"), "pii-texts")
     n_docs = one.count()
-    words = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    listed = stored(texts.select("text_hash", "row", F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities"), words.alias("words")), "pii-words")
-    n_term = listed.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
-    some = listed.where(F.size("entities") > 0)
-    entity_rows = some.select("text_hash", F.explode("entities").alias("entity"))
-    n_entity = entity_rows.groupBy("entity").agg(F.count("*").alias("of_entity"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), _term))
+    entities = F.array_distinct(F.concat(*map(_entities, KINDS)))
+    texts = found.select("row", "rest").join(one, "row", "left_semi")
+    n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    some = found.where(F.size(entities) > 0).join(one, "row", "left_semi")
+    some = stored(some.select("row", entities.alias("entities"), words.alias("words")), "pii-some")
+
+    # Entities that stand in the same texts are one class.
+    entity_rows = some.select("row", F.explode("entities").alias("entity"))
+    sign = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
+    n_entity = entity_rows.groupBy("entity").agg(F.count("*").alias("of_entity"), sign(1).alias("s1"), sign(2).alias("s2"))
+    n_entity = stored(n_entity.select("entity", "of_entity", F.xxhash64("of_entity", "s1", "s2").alias("class")), "pii-entities")
+    classes = entity_rows.join(n_entity, "entity").select("row", "class", "of_entity").distinct()
+    n = F.lit(float(max(n_docs, 1)))
     # n(t, e) is at most n(e), so a term of more than N ** (1 - g) * n(e) ** g texts can't reach the threshold g.
-    most = n_entity.agg(F.max("of_entity")).first()[0] or 1
-    bound = 1.000001 * max(n_docs, 1) ** (1 - generalise_at) * most**generalise_at
-    in_text = some.select("text_hash", F.explode("words").alias("term")).join(n_term.where(F.col("of_term") <= bound), "term")
-    pairs = in_text.join(entity_rows, "text_hash").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_term").alias("of_term"))
-    judged = pairs.join(n_entity, "entity")
-    n = F.lit(float(n_docs))
+    most = lambda of: 1.000001 * n ** (1 - generalise_at) * of**generalise_at
+    largest = n_entity.agg(F.coalesce(F.max("of_entity"), F.lit(0))).first()[0]
+    rare = stored(n_term.where(F.col("of_term") <= most(F.lit(float(largest)))), "pii-terms")
+    in_text = some.select("row", F.explode("words").alias("term")).join(rare, "term")
+    pairs = in_text.join(classes, "row").where(F.col("of_term") <= most(F.col("of_entity")))
+    judged = pairs.groupBy("class", "term").agg(F.count("*").alias("both"), F.first("of_term").alias("of_term"), F.first("of_entity").alias("of_entity"))
     content = F.log(n / F.col("of_entity"))
     share = F.when(content > 0, F.log(n * (F.col("both") - discount) / (F.col("of_entity") * F.col("of_term"))) / content).otherwise(F.lit(0.0))
     revealing = judged.select("term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    revealing = stored(revealing, "pii-revealing")
+
     # A term that reveals an entity does so in any text, whether or not the entity is spelt out there.
-    hits = listed.select("row", F.explode("words").alias("term")).join(revealing, "term")
-    by_row = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("disclosures"))
-    by_text = listed.select("row", "text_hash").join(by_row, "row").drop("row")
-    term = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove_at, "remove").otherwise("generalise").alias("action"), t["disclosure"].alias("disclosure"))
-    placed = F.transform(term_places(F.col("rest"), F.col("disclosures")), term)
-    rows = found.join(by_text, "text_hash", "left")
-    return rows.select("doc_id", "text_hash", *KINDS, F.when(F.col("disclosures").isNotNull(), placed).otherwise(F.expr("array()")).alias("terms"))
+    def may_reveal(word: Column) -> Column:
+        bits = lambda t: F.element_at("filter", F.shiftright(F.pmod(t, F.lit(FILTER_WORDS * 64)), 6).cast("int") + 1)
+        return _let(_term(word), lambda t: F.when(F.getbit(bits(t), F.pmod(t, F.lit(64)).cast("int")) == 1, F.struct(t.alias("term"))))
+
+    likely = found.select("row", "rest", term_filter(revealing).scalar().alias("filter"))
+    likely = likely.select("row", F.explode(match_spans(F.col("rest"), TERM, may_reveal, {"term": "long"})).alias("t")).select("row", "t.*")
+    action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")
+    hits = likely.join(revealing, "term").select("row", F.struct("start", "end", action, "disclosure").alias("t"))
+    by_row = hits.groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    rows = found.select("row", "doc_id", "text_hash", *KINDS).join(by_row, "row", "left")
+    return rows.select("doc_id", "text_hash", *KINDS, F.coalesce("terms", F.expr("array()")).alias("terms"))
 
 
 def sanitised(text: Column) -> Column:
     """The text of a row of ``find_personal_data`` with its base spans masked by kind and its terms generalised or removed."""
     mark = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("to")))
     marks = [mark(k) for k in KINDS]
-    # Terms generalise to the class of words of like length.
-    size = lambda t: F.when(t["end"] - t["start"] <= 6, "[SHORT-TERM]").otherwise("[LONG-TERM]")
-    marks.append(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "[TERM]").otherwise(size(t)).alias("to"))))
+    # Terms generalise to the class of words of like shape.
+    word = lambda t: F.substring(text, t["start"] + 1, t["end"] - t["start"])
+    shape = lambda w: F.when(w.rlike("^[0-9]+$"), "[NUMBER]").when(w.rlike("[0-9]"), "[CODE]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    marks.append(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "[REMOVED]").otherwise(shape(word(t))).alias("to"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def add(acc: Column, s: Column) -> Column:
