@@ -21,6 +21,8 @@ _MIXED_BLANKS = ("  ", " \n", "\n ", "\t", "\r")
 #: The vocabularies' own pre-token rules, on the charset above.
 _BYTE_RULE = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_RULE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Signs that are a pre-token of their own behind a word.
+_STOPS = frozenset(".,;:!?")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -54,14 +56,14 @@ class ChunkEncoder:
     """``ids(text)`` gives the text's ids as little-endian unsigned 32-bit bytes.
 
     ``kind``: "byte" (blanks belong to the following word) or "word" (blanks dropped, lower case).
-    At most ``max_entries`` strings of at most 48 characters are kept, some 200 bytes each; a full memory takes
+    At most ``max_entries`` strings of at most 48 characters are kept, some 140 bytes each; a full memory takes
     no more, which changes speed only.  Chunks and pre-tokens share it: a chunk that is one pre-token has its ids.
 
     Cases: the empty text has no ids; a text without blanks is one chunk, whatever its length; a text
     that holds a special token's string is encoded as the library does.
     """
 
-    def __init__(self, path: str, kind: str, max_entries: int = 250_000):
+    def __init__(self, path: str, kind: str, max_entries: int = 700_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -73,6 +75,8 @@ class ChunkEncoder:
     def _ask(self, chunk: str) -> bytes:
         letters = chunk[1:] if self.kind == "byte" and chunk[:1] == " " else chunk
         if not letters.isalpha():
+            if letters[-1:] in _STOPS and letters[:-1].isalpha():
+                return self.known[chunk[:-1]] + self.known[chunk[-1]]
             parts = self.rule.findall(chunk)
             if len(parts) != 1 or parts[0] != chunk:
                 return b"".join(map(self.known.__getitem__, parts))
