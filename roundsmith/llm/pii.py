@@ -156,6 +156,8 @@ def find_personal_data(docs: DataFrame, discount: float = 0.5, generalise_at: fl
     n_docs = one.count()
     words = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), _term))
     entities = F.array_distinct(F.concat(*map(_entities, KINDS)))
+    # The rows of texts grow with the corpus, so they are never broadcast.
+    one = one.hint("merge")
     texts = found.select("row", "rest").join(one, "row", "left_semi")
     n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
     some = found.where(F.size(entities) > 0).join(one, "row", "left_semi")

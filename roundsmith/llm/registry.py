@@ -88,6 +88,23 @@ QUERIES = {f.__name__: f for f in (op1_chat_preference, op2_pii_sanitisation, op
 _RENDER = "list_aggregate(list_transform({0}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), 'string_agg', '')"
 _MASK = "list_aggregate(list_transform({0}, lambda t: (length(t.role) + 5)::VARCHAR || ':0,' || (length(t.text) + 8)::VARCHAR || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END), 'string_agg', ',')"
 
+def _either(word: str) -> str:
+    """The word's letters in either case, and no others that fold to them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _places(name, kind, pattern, group, least):
+    """SQL for (doc_id, source, name, kind, a, b, v) of each match in code points: running sums of the pieces between matches place them."""
+    return f"""SELECT doc_id, source, '{name}' AS name, {kind} AS kind, b - length(w) AS a, b, v FROM (
+    SELECT *, (sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS b FROM (
+      SELECT doc_id, source, unnest(regexp_extract_all(t, '{pattern}', 0)) AS w, unnest(regexp_extract_all(t, '{pattern}', {group})) AS v,
+        unnest(string_split_regex(t, '{pattern}')) AS g, unnest(range(len(regexp_extract_all(t, '{pattern}', 0)) + 1)) AS i FROM texts)
+    WHERE w IS NOT NULL) WHERE length(v) >= {least}"""
+
+
 SQL = {
     "op1_chat_preference": f"""
 WITH said AS (
@@ -108,6 +125,50 @@ SELECT pair_id, chosen_id, rejected_id, n::INTEGER AS n_prompt_turns,
        coalesce({_RENDER.format("p")}, '') AS prompt, coalesce({_RENDER.format("cc")}, '') AS chosen, coalesce({_RENDER.format("rr")}, '') AS rejected,
        coalesce({_MASK.format("cc")}, '') AS chosen_mask, coalesce({_MASK.format("rr")}, '') AS rejected_mask
 FROM cut""",
+    "op4_near_duplicates": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+alike AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+items AS (SELECT doc_id, n, unnest(s) AS item FROM alike),
+frequent AS (SELECT item, count(*) AS df FROM items GROUP BY item),
+ranked AS (SELECT doc_id, n, item, row_number() OVER (PARTITION BY doc_id ORDER BY df, item) AS place FROM items JOIN frequent USING (item)),
+prefix AS (SELECT doc_id, n, item FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1),
+candidates AS (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prefix a JOIN prefix b USING (item)
+  WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (
+  SELECT x, y FROM candidates JOIN alike a ON a.doc_id = x JOIN alike b ON b.doc_id = y
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM alike UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+component AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM sets d LEFT JOIN alike a ON a.s = list_sort(d.s) LEFT JOIN component c ON c.doc_id = a.doc_id""",
+    "op6_secret_scan": rf"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+kept AS (
+  {_places('assign', 0, _ASSIGN, 2, 6)}
+  UNION ALL {_places('access', 1, 'AKIA[A-Z0-9]+', 0, 20)}
+  UNION ALL {_places('hex', 2, '[0-9a-f]{24,}', 0, 24)}),
+spread AS (
+  SELECT v, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS repositories, count(DISTINCT source) + max((source IS NULL)::INT) AS owners,
+    NOT regexp_matches(v, '(?i)example|sample|changeme|placeholder|dummy|your|xxxx|1234567|abcdef|test') AND (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') OR length(v) >= 20)
+      AND list_aggregate(string_split(v, ''), 'entropy') >= 0.75 * log2(least(length(v), 16)) AS live
+  FROM kept GROUP BY v),
+judged AS (SELECT kept.*, CASE WHEN owners >= 3 OR repositories >= 50 THEN 'copied' WHEN live THEN 'live' ELSE 'weak' END AS verdict FROM kept JOIN spread USING (v)),
+spans AS (
+  SELECT doc_id, name, kind, a, b, true AS base, verdict FROM judged
+  UNION SELECT doc_id, 'live', 3, a, b, false, verdict FROM judged WHERE verdict = 'live'),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (base AND kind = 0) AS n_assign, count(*) FILTER (base AND kind = 1) AS n_access, count(*) FILTER (base AND kind = 2) AS n_hex,
+    count(*) FILTER (base AND verdict = 'live') AS n_live, count(*) FILTER (base AND verdict = 'copied') AS n_copied,
+    string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind, b) FILTER (base) AS base_text, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT texts.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied, sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN by_doc ON by_doc.doc_id = texts.doc_id""",
     "op7_topk_search": """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings

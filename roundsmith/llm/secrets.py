@@ -1,14 +1,14 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are assignments, access keys and long hexadecimal runs.  The hash of each candidate value is
-aggregated over the corpus by distinct repositories and distinct owners.  A value that
-``copied_owners`` or more owners hold is a widely copied example; a value that looks live (its
-characters carry ``live_bits`` bits or more and it isn't a placeholder) and stays with fewer
-owners is a live-looking credential of its owner.
-
-Cases: a null text is the empty text; a null owner is an owner of its own; repeated rows count once as
-repository (their repository id is the same); candidates of different kinds may overlap and all are
-kept; an empty table gives no rows; further columns are ignored.
+aggregated over the corpus by distinct repositories and distinct owners.  A value that ``copied_owners`` or
+more owners hold, or that stands in ``copied_repositories`` or more repositories, whoever owns them, is a widely
+copied example; a value that looks live (see ``looks_live``) and stays below both is a live-looking credential of its owner.
+
+Cases: a null text is the empty text; a null owner or repository is one of its own, apart from the empty string; repeated rows
+count once as repository (their repository id is the same); candidates of different kinds may overlap and all are
+kept; an empty table gives no rows; further columns are ignored.  Texts may be of any length: a text is scanned
+whole, in linear time, and only the hashes of its candidates go on.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundsmith.llm.common import stored, text_or_empty
+from roundsmith.llm.words import slices
 
 #: Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -47,26 +48,34 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def entropy(value: str) -> float:
-    """Bits of the whole value under its own character frequencies."""
+    """Bits a character of the value under its own character frequencies."""
     n = len(value)
-    return -sum(c * math.log2(c / n) for c in Counter(value).values())
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
+
+def looks_live(value: str) -> bool:
+    """No made-up word in it, letters and digits mixed (or 20 characters), and three quarters of the bits a character that its length allows, 3 at most."""
+    if PLACEHOLDER.search(value):
+        return False
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return (mixed or len(value) >= 20) and entropy(value) >= 0.75 * math.log2(min(len(value), 16))
 
 
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.binary()), ("looks_live", pa.bool_())]))
 
 
-def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = 3, live_bits: float = 40.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = 3, copied_repositories: int = 50) -> DataFrame:
     """Per row: doc_id, text_hash and found, an array of (start, kind, end, repositories, owners, verdict).
 
     ``verdict`` is "copied", "live" or "weak"; ``text_hash`` tells rows of one doc_id apart.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 out.append([
-                    {"start": a, "kind": k, "end": b, "value": hashlib.blake2b(v.encode(), digest_size=16).digest(), "looks_live": entropy(v) >= live_bits and not PLACEHOLDER.search(v)}
+                    {"start": a, "kind": k, "end": b, "value": hashlib.blake2b(v.encode(), digest_size=16).digest(), "looks_live": looks_live(v)}
                     for a, k, b, v in find_secrets(text)
                 ])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "repository", "owner", "text_hash")), pa.array(out, _FOUND)], names=["doc_id", "repository", "owner", "text_hash", "found"])
@@ -76,10 +85,10 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     rows = stored(source.mapInArrow(scan, "doc_id long, repository string, owner string, text_hash long, found array<struct<start:long,kind:int,end:long,value:binary,looks_live:boolean>>"), "candidates")
     some = rows.where(F.size("found") > 0).select("doc_id", "repository", "owner", "text_hash", F.explode("found").alias("f"))
     # Two levels of partial sums: a value that fills a third of the corpus is reduced before each exchange.
-    spread = lambda c, to: some.groupBy(F.col("f.value").alias("value"), F.coalesce(c, F.lit("")).alias("x")).agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias(to))
-    ownership = spread("repository", "repositories").join(spread("owner", "owners"), "value")
+    spread = lambda c, to: some.groupBy(F.col("f.value").alias("value"), F.col(c).alias("x")).agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias(to))
+    ownership = stored(spread("repository", "repositories").join(spread("owner", "owners"), "value"), "ownership")
     judged = some.select("doc_id", "text_hash", "f.*").distinct().join(ownership, "value")
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(F.col("looks_live"), "live").otherwise("weak")
+    verdict = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied").when(F.col("looks_live"), "live").otherwise("weak")
     judged = judged.select("doc_id", "text_hash", F.struct("start", "kind", "end", "repositories", "owners", verdict.alias("verdict")).alias("f"))
     by_doc = judged.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("f")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "found")
