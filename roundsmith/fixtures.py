@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES = ("customer", "nation", "orders", "lineitem", "supplier", "region")
+_TABLES = ("customer", "nation", "orders", "lineitem", "supplier", "region", "part")
 
 LOCATION = """
 SELECT c.c_custkey AS fl_id, c.c_name AS fl_name, n.n_name AS city, c.c_name || ' St' AS address, c.c_mktsegment AS territory,
@@ -59,6 +59,15 @@ SELECT c_custkey AS agreement_id, CASE WHEN c_custkey % 29 = 0 THEN 2 ELSE 1 END
 OPTION_SET = """
 SELECT DISTINCT c_mktsegment AS code, 'Division ' || c_mktsegment AS label FROM customer"""
 
+INVOICE_OPTION = """
+SELECT DISTINCT c_nationkey % 3 AS invoice_code, CASE c_nationkey % 3 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' ELSE 'Per service' END AS invoice_frequency FROM customer WHERE c_nationkey % 3 <> 2"""
+
+BRANCH = """
+SELECT n_nationkey AS branch_id, 'Branch ' || CAST(n_nationkey AS STRING) AS setup_branch FROM nation WHERE n_nationkey < 6"""
+
+PRODUCT_MINUTES = """
+SELECT p_partkey AS product_id, 1.0E0 + p_size % 5 AS minutes_per_unit FROM part"""
+
 BRANCH_TERRITORY = """
 SELECT c_mktsegment AS territory, 'Division ' || c_mktsegment AS division, c_nationkey AS branch_id, 'Branch ' || CAST(c_nationkey AS STRING) AS branch_name FROM customer GROUP BY c_mktsegment, c_nationkey"""
 
@@ -71,7 +80,7 @@ SELECT l_orderkey - l_linenumber - l_partkey - l_suppkey AS wo_id, l_orderkey AS
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
 
 DOMAIN = {
-    "location": LOCATION, "compact": COMPACT, "setup": SETUP, "product": PRODUCT, "agreement": AGREEMENT, "option_set": OPTION_SET,
+    "location": LOCATION, "compact": COMPACT, "setup": SETUP, "product": PRODUCT, "agreement": AGREEMENT, "option_set": OPTION_SET, "invoice_option": INVOICE_OPTION, "branch": BRANCH, "product_minutes": PRODUCT_MINUTES,
     "branch_territory": BRANCH_TERRITORY, "branch_timezone": BRANCH_TIMEZONE, "work_order": WORK_ORDER,
 }
 

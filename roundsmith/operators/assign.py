@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundsmith.config import DEFAULT, SchedulingConfig
@@ -41,16 +45,37 @@ def tech_centroids(setups: DataFrame, config: SchedulingConfig = DEFAULT) -> Dat
     )
 
 
-def nearest_tech(setups: DataFrame, centroids: DataFrame, most: int = 20_000) -> DataFrame:
-    """Adds ``tech``: the own one, or for unassigned setups that of the nearest centre (ties to the first name).
+def rosters(points: DataFrame, centroids: DataFrame, nth: int = 1, cell_degrees: float = 0.5, most: int = 5_000) -> DataFrame:
+    """``points`` with ``roster``, an array by name of (tech, c_lat, c_lon) that holds the ``nth`` nearest technicians.
 
-    A roster of at most ``most`` technicians travels in one row beside the setups; a larger one is refused.
+    A roster of at most ``most`` technicians travels in one row beside the points.  A larger one is thinned, per cell
+    of ``cell_degrees``, to the technicians who can be that near to some point of the cell.
     """
-    roster = centroids.agg(F.sort_array(F.collect_list(F.struct("tech", "c_lat", "c_lon"))).alias("roster"), F.count("*").alias("n"))
-    roster = roster.select(F.when(F.col("n") <= most, F.col("roster")).otherwise(F.raise_error(F.lit("too many technicians for one roster"))).alias("roster"))
-    near = F.transform("roster", lambda c: F.struct(geo.haversine(F.col("latitude"), F.col("longitude"), c["c_lat"], c["c_lon"]).alias("d"), c["tech"].alias("tech")))
-    found = setups.join(F.broadcast(roster))
-    return found.withColumn("tech", F.when(F.col("is_unassigned"), F.array_min(near)["tech"]).otherwise(F.col("tech_raw"))).drop("roster")
+    listed = F.sort_array(F.collect_list(F.struct("tech", "c_lat", "c_lon"))).alias("roster")
+    if centroids.limit(most + 1).count() <= most:
+        return points.join(F.broadcast(centroids.agg(listed)))
+    cell = lambda c: F.floor(F.col(c) / cell_degrees)
+    placed = points.withColumns({"cell_lat": cell("latitude"), "cell_lon": cell("longitude")})
+    by = ["cell_lat", "cell_lon"]
+    cells = placed.select(*by).where("cell_lat IS NOT NULL AND cell_lon IS NOT NULL").distinct()
+    middle = [(F.col(c) + 0.5) * cell_degrees for c in by]
+    # The globe has at most 360 * 180 / cell_degrees ** 2 cells, so they are the side to broadcast.
+    away = centroids.select("tech", "c_lat", "c_lon").join(F.broadcast(cells)).withColumn("km", geo.haversine(*middle, F.col("c_lat"), F.col("c_lon")))
+    least = cells.withColumn("least", F.lit(-1.0))
+    for _ in range(nth):
+        least = away.join(least, by).where(F.col("km") > F.col("least")).groupBy(*by).agg(F.min("km").alias("least"))
+    # No point of a cell is farther from its middle than half its diagonal at the equator.
+    reach = 1.0001 * cell_degrees * (2**0.5) / 2 * geo.EARTH_KM * math.pi / 180
+    kept = away.join(least, by).where(F.col("km") <= F.col("least") + 2 * reach)
+    return placed.join(kept.groupBy(*by).agg(listed), by, "left").drop(*by)
+
+
+def nearest_tech(setups: DataFrame, centroids: DataFrame, **thinning) -> DataFrame:
+    """Adds ``tech``: the own one, or for unassigned setups that of the nearest centre (ties to the first name)."""
+    km = lambda c: geo.haversine(F.col("latitude"), F.col("longitude"), c["c_lat"], c["c_lon"])
+    near = F.array_min(F.transform("roster", lambda c: F.struct(km(c).alias("d"), c["tech"].alias("tech"))))["tech"]
+    found = rosters(setups, centroids, **thinning)
+    return found.withColumn("tech", F.when(F.col("is_unassigned"), near).otherwise(F.col("tech_raw"))).drop("roster")
 
 
 def multi_tech(setups: DataFrame) -> DataFrame:
@@ -68,12 +93,53 @@ def tech_sites(setups: DataFrame, site: DataFrame) -> DataFrame:
     return out.withColumn("anchor_tier", frequency_tier(F.col("anchor_freq"))).join(site.select("fl_id", "fl_name", "city"), "fl_id", "left")
 
 
-def neighbours(placed: DataFrame, k: int) -> DataFrame:
-    """The k nearest other sites of the same technician: tech, fl_id, other, km, nn_rank."""
-    a, b = placed.select("tech", "fl_id", "latitude", "longitude"), placed.select("tech", F.col("fl_id").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
-    pairs = a.join(b, "tech").where("fl_id <> other").withColumn("km", geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")))
-    near = Window.partitionBy("tech", "fl_id").orderBy("km", "other")
-    return pairs.withColumn("nn_rank", F.row_number().over(near)).where(F.col("nn_rank") <= k).select("tech", "fl_id", "other", "km", "nn_rank")
+def nearest_sites(lat: np.ndarray, lon: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the asking site, place of the other, km) of the k nearest others, by km and then id.
+
+    Sites lie in order of latitude; a window of them is enough once the k-th distance is below the distance to its edges.
+    """
+    order = np.argsort(lat, kind="stable")
+    lat, lon, ids = np.radians(lat[order]), np.radians(lon[order]), ids[order]
+    out = []
+    for place in np.flatnonzero(asked[order]):
+        reach = max(32, 4 * k)
+        while True:
+            lo, hi = max(0, place - reach), min(len(lat), place + reach + 1)
+            chord = np.sin((lat[lo:hi] - lat[place]) / 2) ** 2 + np.cos(lat[place]) * np.cos(lat[lo:hi]) * np.sin((lon[lo:hi] - lon[place]) / 2) ** 2
+            km = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(chord, 1)))
+            km[place - lo] = np.inf
+            best = np.lexsort((ids[lo:hi], km))[:k]
+            best = best[np.isfinite(km[best])]
+            # Beyond an edge every site is farther than its difference of latitude.
+            edges = [lat[place] - lat[lo] if lo else np.inf, lat[hi - 1] - lat[place] if hi < len(lat) else np.inf]
+            if lo == 0 and hi == len(lat) or len(best) == k and km[best[-1]] < geo.EARTH_KM * min(edges) - 1e-9:
+                break
+            reach *= 4
+        out.append((np.full(len(best), place), best + lo, km[best]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    a, b, km = (np.concatenate(x) for x in zip(*out))
+    return order[a], order[b], km
+
+
+def neighbours(placed: DataFrame, k: int, asking: int = 4096) -> DataFrame:
+    """The k nearest other sites of the same technician: tech, fl_id, other, km, nn_rank.
+
+    A technician's asking sites are dealt into parts of about ``asking``; each part sees all the sites.  Sites without a place have no neighbours.
+    """
+    sites = placed.select("tech", "fl_id", "latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    sizes = sites.groupBy("tech").agg(F.ceil(F.count("*") / asking).cast("int").alias("parts"))
+    dealt = sites.join(sizes, "tech").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("asked", F.pmod(F.xxhash64("fl_id"), F.col("parts")) == F.col("part")).drop("parts")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["fl_id"].to_numpy()
+        a, b, km = nearest_sites(group["latitude"].to_numpy(float), group["longitude"].to_numpy(float), ids, group["asked"].to_numpy(bool), k)
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) + 1
+        return pd.DataFrame({"tech": group["tech"].iloc[0], "fl_id": ids[a], "other": ids[b], "km": km, "nn_rank": rank.astype("int32")})
+
+    return dealt.groupBy("tech", "part").applyInPandas(one, "tech string, fl_id long, other long, km double, nn_rank int")
 
 
 def mad_outliers(distances: DataFrame, multiplier: float) -> DataFrame:

@@ -44,13 +44,15 @@ def base_export(domain, config: SchedulingConfig = DEFAULT, divisions: tuple[str
         .join(product_totals(domain.table("product")), "booking_setup_id", "left")
         .join(branches, ["territory", "division"], "left")
         .join(zones, "branch_id", "left")
+        .join(domain.table("invoice_option"), "invoice_code", "left")
+        .join(domain.table("branch"), "branch_id", "left")
     )
     derived = recurrence.derive(joined, domain.setups, config)
     blank = lambda c: F.coalesce(c, F.lit(""))
     local = F.timestamp_add("MINUTE", F.coalesce("utc_offset_minutes", F.lit(0)), F.col("createdon"))
     return derived.select(
         "booking_setup_id", "fl_id", "fl_name", blank("city").alias("city"), "address", "latitude", "longitude", blank("division").alias("division"), blank("service_branch").alias("service_branch"),
-        "branch_id", "service_branch_id", "billing_account", blank("preferred_resource").alias("preferred_resource"), blank("products").alias("products"),
+        "branch_id", "service_branch_id", blank("setup_branch").alias("setup_branch"), "territory", blank("invoice_frequency").alias("invoice_frequency"), "billing_account", blank("preferred_resource").alias("preferred_resource"), blank("products").alias("products"),
         F.to_date(F.col("createdon") + F.expr("INTERVAL 10 HOURS")).alias("last_modifiedon"), F.date_format(local, "HH:mm:ss").alias("preferred_start_time"),
         F.when(F.col("auto_generate") == 0, "No").otherwise("Yes").alias("auto_generate_booking"), "service_duration", "new_duration",
         F.round("setup_value", 2).alias("setup_value"), "setup_quantity", "services_per_year", F.round(F.col("setup_value") * F.col("services_per_year"), 2).alias("annual_value"),

@@ -134,16 +134,49 @@ def site_records(applied: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def matching(records: DataFrame, techs=(), days=(), weeks=(), freqs=(), text: str = "") -> DataFrame:
-    """The dashboard's filter: empty choices match all; blank weeks and frequencies pass."""
+    """The dashboard's filter: empty choices match all; a site passes by any setup whose frequency is chosen or blank, and blank weeks pass."""
     found = F.lit(True)
     if techs:
         found &= F.col("tech").isin(*techs)
     if days:
         found &= F.col("day").isin(*days)
     if weeks:
-        found &= (F.size("weeks") == 0) | F.exists("weeks", lambda w: w.isin(*weeks))
+        found &= F.col("week").isNull() | F.col("week").isin(*weeks)
     if freqs:
-        found &= (F.size("freqs") == 0) | F.exists("freqs", lambda f: f.isin(*freqs))
+        found &= F.exists("setup_list", lambda x: F.coalesce(x["freq"], F.lit("")).isin("", *freqs))
     if text:
         found &= F.lower("fl_name").contains(text.lower()) | F.lower("city").contains(text.lower())
     return records.where(found)
+
+
+def crowded(slot_loads: DataFrame, techs=(), config: SchedulingConfig = DEFAULT) -> DataFrame:
+    """The dashboard's slot filter: slots of the chosen technicians (none: all) that are over capacity."""
+    chosen = F.col("tech").isin(*techs) if techs else F.lit(True)
+    return slot_loads.where(chosen & (F.col("over_capacity") | (F.col("load_hrs") > config.capacity_hours)))
+
+
+def filter_lists(placed: DataFrame, applied: DataFrame) -> DataFrame:
+    """The dashboard's choices in their order: technicians by hours (most first), frequencies and cities by name. (list, position, value)."""
+
+    def listed(name: str, values: DataFrame, key, value: str) -> DataFrame:
+        # Each list is as short as a choice box: one row of an array.
+        held = values.agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col(value).alias("v")))).alias("l"))
+        return held.select(F.lit(name).alias("list"), F.posexplode("l").alias("position", "x")).select("list", (F.col("position") + 1).alias("position"), F.col("x.v").alias("value"))
+
+    techs = placed.groupBy("tech").agg(F.sum("monthly_hrs").alias("hrs"))
+    freqs = applied.select(F.col("recurrence_frequency").alias("freq")).where("freq IS NOT NULL").distinct()
+    cities = placed.select("city").where("city IS NOT NULL").distinct()
+    return listed("tech", techs, -F.round("hrs", 6), "tech").union(listed("freq", freqs, F.lit(0), "freq")).union(listed("city", cities, F.lit(0), "city"))
+
+
+def indicators(placed: DataFrame, applied: DataFrame, config: SchedulingConfig = DEFAULT) -> DataFrame:
+    """One row of all indicators of a schedule, for diagnostics at the end of a run."""
+    cap = capacity(applied, config)
+    over = F.col("over_capacity")
+    loads = cap.agg(F.count_if(over).alias("over_slots"), (F.avg(over.cast("double")) * 100).alias("over_pct"), F.max("load_hrs").alias("max_load"))
+    far = centroid_km(placed, config).agg(F.count("*").alias("fls"), F.avg("km").alias("mean_km"), F.count_if("is_outlier").alias("outliers"))
+    apart = zones(placed, config).agg(F.count_if(F.col("components") > 1).alias("disconnected_zones"))
+    enclave = enclaves(votes(placed, config.neighbours), config.least_votes).select("strict_pct", "loose_pct")
+    given = applied.agg((F.avg((F.length("new_date_pattern") > 0).cast("double")) * 100).alias("allocated_pct"))
+    # Tables of one row each.
+    return loads.join(far).join(apart).join(enclave).join(given)

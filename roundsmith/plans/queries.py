@@ -6,7 +6,6 @@ A query is named after the operators that it shows.  Doubles are rounded to six
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +14,26 @@ from roundsmith.config import DEFAULT
 from roundsmith.fixtures import Domain
 from roundsmith.functions import geo, recurrence
 from roundsmith.functions import workload as wl
-from roundsmith.operators import assign, export, profile, slots, spec
+from roundsmith.operators import assign, export, profile, slots, spec, steps
 from roundsmith.plans.oracle import PREFIX, km
 from roundsmith.plans.schedule import Schedule, convergence
+from roundsmith.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-@lru_cache(maxsize=8)
+_SCHEDULES: dict[tuple[str, str, bool], Schedule] = {}
+
+
 def _schedule(spark: SparkSession, sf_dir: str, compact: bool) -> Schedule:
-    """One set of plans for a session and folder: queries share the building of plans, not data."""
-    return Schedule(Domain(spark, sf_dir), compact=compact)
+    """One set of plans for an application and folder; another application's plans go."""
+    key = (spark.sparkContext.applicationId, sf_dir, compact)
+    if key not in _SCHEDULES:
+        for old in [k for k in _SCHEDULES if k[0] != key[0]]:
+            del _SCHEDULES[old]
+        _SCHEDULES[key] = Schedule(Domain(spark, sf_dir), compact=compact)
+    return _SCHEDULES[key]
 
 
 def query(name: str, sql: str | None = None, compact: bool = False):
@@ -248,7 +255,7 @@ def top_areas(s):
 
 @query("agg_4_mth_2_srt_2_tiers", "SELECT recurrence_frequency, count(*) setup_count, count(DISTINCT fl_id) fl_count, round_even(avg(effective_duration),1) avg_duration_mins, round_even(round(coalesce(sum(monthly_contrib_hrs),0),6),1) monthly_hrs FROM work GROUP BY 1")
 def _(s):
-    return profile.tiers(s.work)
+    return profile.tiers(s.work).orderBy(F.desc("setup_count"), "recurrence_frequency")
 
 
 @query("agg_5_snk_5_hours_distribution", "SELECT round(avg(monthly_contrib_hrs),6) mean, round(median(monthly_contrib_hrs),6) median, round(quantile_cont(monthly_contrib_hrs,0.9),6) p90, round(max(monthly_contrib_hrs),6) max, count(*) FILTER (latitude IS NULL) no_coordinates FROM site")
@@ -262,15 +269,18 @@ def _(s):
 
 
 # Export ---------------------------------------------------------------------------------------------------------------
-_BASE = """SELECT l.booking_setup_id, 'Division '||a.division_code AS division, coalesce(b.branch_name,'') service_branch, a.billing_account, round(round(p.setup_value,2),2) setup_value, round(p.setup_quantity,4) setup_quantity, d.recurrence_frequency, d.drop_month, d.drop_week
-FROM latest l JOIN agreement a USING (agreement_id) JOIN derived d USING (booking_setup_id) JOIN location x ON x.fl_id = l.fl_id LEFT JOIN products0 p USING (booking_setup_id)
-LEFT JOIN branch1 b ON b.territory = x.territory AND b.division = 'Division '||a.division_code
+_BASE_FROM = """FROM latest l JOIN agreement a USING (agreement_id) JOIN derived d USING (booking_setup_id) JOIN location x ON x.fl_id = l.fl_id LEFT JOIN products0 p USING (booking_setup_id)
+LEFT JOIN branch1 b ON b.territory = x.territory AND b.division = 'Division '||a.division_code LEFT JOIN branch_timezone z ON z.branch_id = l.branch_id LEFT JOIN invoice_option i ON i.invoice_code = a.invoice_code LEFT JOIN branch h ON h.branch_id = l.branch_id
 WHERE a.status = 1 AND l.status = 1 AND a.division_code IN ('AUTOMOBILE','BUILDING','MACHINERY')"""
+_BASE = f"""SELECT l.booking_setup_id, x.fl_name, round(x.latitude,6) latitude, round(x.longitude,6) longitude, 'Division '||a.division_code AS division, coalesce(b.branch_name,'') service_branch, coalesce(h.setup_branch,'') setup_branch, x.territory, coalesce(i.invoice_frequency,'') invoice_frequency,
+strftime(l.createdon + to_minutes(coalesce(z.utc_offset_minutes,0)), '%H:%M:%S') preferred_start_time, round(round(p.setup_value*d.sql_spy,6),0) annual_value, a.billing_account, round(round(p.setup_value,2),2) setup_value, round(p.setup_quantity,4) setup_quantity, d.recurrence_frequency, d.drop_month, d.drop_week {_BASE_FROM}"""
 
 
 @query("jn_1_to_6_flt_11_base_export", _BASE)
 def _(s):
-    return export.base_export(s.domain).select("booking_setup_id", "division", "service_branch", "billing_account", r(F.col("setup_value"), 2).alias("setup_value"), r(F.col("setup_quantity"), 4).alias("setup_quantity"), "recurrence_frequency", "drop_month", "drop_week")
+    plain = ("fl_name", "division", "service_branch", "setup_branch", "territory", "invoice_frequency", "preferred_start_time", "billing_account", "recurrence_frequency", "drop_month", "drop_week")
+    numbers = (r(F.col("latitude")).alias("latitude"), r(F.col("longitude")).alias("longitude"), r(F.col("annual_value"), 0).alias("annual_value"), r(F.col("setup_value"), 2).alias("setup_value"), r(F.col("setup_quantity"), 4).alias("setup_quantity"))
+    return export.base_export(s.domain).select("booking_setup_id", *plain, *numbers)
 
 
 @query("jn_11_split_schedule", "SELECT booking_setup_id, split FROM typed")
@@ -308,7 +318,14 @@ def _(s):
     return _done(s).select("wo_id", F.count("*").over(Window.partitionBy("booking_setup_id", "fl_id")).alias("n"))
 
 
-@query("jn_9_src_4_branch_export")
+_CURRENT = "CASE WHEN frequency_type = 'Weekly - Multi Day' OR recurrence_frequency = '1 Weekly' THEN 'Every '||sql_dow_name ELSE coalesce(drop_week::VARCHAR,'')||'-'||sql_dow_name END"
+_BRANCH = f"""SELECT m.booking_setup_id, {_CURRENT} current_pattern, o.pattern serviced_pattern, o.n pattern_count, t.most_serviced_tech, t.full_history
+FROM (SELECT l.booking_setup_id, l.fl_id {_BASE_FROM}) m JOIN derived USING (booking_setup_id)
+LEFT JOIN (SELECT fl_id, pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY fl_id ORDER BY n DESC, pattern) rn FROM (SELECT fl_id, pattern, count(pattern) n FROM done WHERE booking_setup_id IN (SELECT l.booking_setup_id {_BASE_FROM}) GROUP BY ALL)) WHERE rn = 1) o ON o.fl_id = m.fl_id
+LEFT JOIN (SELECT booking_setup_id, arg_min(tech_name, (-n, tech_name)) most_serviced_tech, string_agg(n||' service from '||tech_name, '  |  ' ORDER BY n DESC, tech_name) full_history FROM techn GROUP BY 1) t ON t.booking_setup_id = m.booking_setup_id"""
+
+
+@query("jn_9_src_4_branch_export", _BRANCH)
 def _(s):
     return export.branch_export(s.domain).select("booking_setup_id", "current_pattern", "serviced_pattern", "pattern_count", "most_serviced_tech", "full_history")
 
@@ -372,7 +389,7 @@ def _(s):
     return rounded(slots.zones(s.stub()))
 
 
-@query("geo_9_disconnected_flag")
+@query("geo_9_disconnected_flag", f"SELECT s.tech, s.fl_id, coalesce(z.components > 1, FALSE) in_disconnected_zone FROM stub s LEFT JOIN ({_ZONES}) z USING (tech, week, day)")
 def _(s):
     return s.diagnosed(s.stub()).select("tech", "fl_id", "in_disconnected_zone")
 
@@ -407,11 +424,26 @@ def _(s):
     return slots.votes(s.stub(), 7)
 
 
-@query("agg_22_flt_15_16_dashboard", "SELECT count(*) n, round(sum(monthly_hrs),6) hrs, count(DISTINCT tech) techs FROM stub WHERE day IN ('Monday','Friday') AND (lower(fl_name) LIKE '%1%' OR lower(city) LIKE '%1%')")
+_TECHS, _FREQS = ("Tech-01", "Tech-02", "Tech-05", "Tech-11", "Tech-17"), ("1 Monthly", "2 Weekly", "3 Monthly")
+_CHOSEN = ", ".join(f"'{t}'" for t in _TECHS)
+
+
+@query("agg_22_flt_15_dashboard", f"SELECT count(*) n, round(sum(monthly_hrs),6) hrs, count(DISTINCT tech) techs, (SELECT count(*) FROM cap WHERE tech IN ({_CHOSEN}) AND load > 8) over_slots FROM stub s WHERE tech IN ({_CHOSEN}) AND day IN ('Monday','Friday') AND week IN (1,2,4) AND EXISTS (SELECT 1 FROM applied a WHERE a.tech = s.tech AND a.fl_id = s.fl_id AND coalesce(a.recurrence_frequency,'') IN ('', '1 Monthly','2 Weekly','3 Monthly')) AND (lower(fl_name) LIKE '%1%' OR lower(city) LIKE '%1%')")
 def _(s):
     records = slots.site_records(slots.apply_slots(s.assigned, s.stub()), s.stub())
-    found = slots.matching(records, days=("Monday", "Friday"), weeks=(1, 2, 3, 4), text="1")
-    return found.agg(F.count("*").alias("n"), r(F.sum("monthly_hrs")).alias("hrs"), F.countDistinct("tech").alias("techs"))
+    found = slots.matching(records, techs=_TECHS, days=("Monday", "Friday"), weeks=(1, 2, 4), freqs=_FREQS, text="1")
+    over = slots.crowded(_cap(s), _TECHS).agg(F.count("*").alias("over_slots"))
+    return found.agg(F.count("*").alias("n"), r(F.sum("monthly_hrs")).alias("hrs"), F.countDistinct("tech").alias("techs")).join(over)
+
+
+@query("flt_16_crowded_slots", f"SELECT tech, week, day, round_even(load,2) load_hrs FROM cap WHERE tech IN ({_CHOSEN}) AND (load > 8 OR round_even(load,2) > 8)")
+def _(s):
+    return slots.crowded(_cap(s), _TECHS).select("tech", "week", "day", "load_hrs")
+
+
+@query("srt_7_filter_lists", "SELECT 'tech' list, row_number() OVER (ORDER BY round(sum(monthly_hrs),6) DESC, tech)::INT AS position, tech AS value FROM stub GROUP BY tech UNION ALL SELECT 'freq', row_number() OVER (ORDER BY f)::INT, f FROM (SELECT DISTINCT recurrence_frequency f FROM applied WHERE recurrence_frequency IS NOT NULL) UNION ALL SELECT 'city', row_number() OVER (ORDER BY city)::INT, city FROM (SELECT DISTINCT city FROM stub WHERE city IS NOT NULL)")
+def _(s):
+    return slots.filter_lists(s.stub(), slots.apply_slots(s.assigned, s.stub()))
 
 
 _PIVOT = ", ".join(f"sum(l) FILTER (week={w} AND day='{d}') AS \"{w}-{d[:3]}\"" for w in (1, 2, 3, 4) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"))
@@ -428,13 +460,17 @@ def _(s):
     return rec.select("tech", "fl_id", F.size("setup_list").cast("long").alias("n_setups"), F.array_join("freqs", ",").alias("freqs"))
 
 
-@query("snk_3_json_payload")
+@query("snk_3_json_payload", "SELECT s.fl_id, s.fl_name AS name, s.city, s.tech, s.day, s.week, round(s.monthly_hrs,6) monthly_hrs, s.is_outlier, a.n_setups, a.minutes, a.freqs FROM stub s JOIN (SELECT tech, fl_id, count(*) n_setups, round(sum(effective_duration),6) AS minutes, string_agg(DISTINCT recurrence_frequency, ',' ORDER BY recurrence_frequency) freqs FROM applied GROUP BY ALL) a USING (tech, fl_id)")
 def _(s):
-    rec = slots.site_records(slots.apply_slots(s.assigned, s.stub()), s.stub())
-    return rec.select(F.to_json(F.struct("fl_id", F.col("fl_name").alias("name"), "city", "tech", "day", "week", "monthly_hrs", "setup_list", "weeks", "freqs")).alias("record"))
+    # What the JSON texts hold when they are read again.
+    rec = slots.site_records(slots.apply_slots(s.assigned, s.stub()), s.stub()).withColumnRenamed("fl_name", "name")
+    held = rec.select("fl_id", "name", "city", "tech", "day", "week", "monthly_hrs", "is_outlier", "setup_list", "weeks", "freqs")
+    back = held.select(F.from_json(F.to_json(F.struct(*held.columns)), held.schema).alias("j")).select("j.*")
+    minutes = F.aggregate("setup_list", F.lit(0.0), lambda a, x: a + x["duration"])
+    return back.select("fl_id", "name", "city", "tech", "day", "week", r(F.col("monthly_hrs")).alias("monthly_hrs"), "is_outlier", F.size("setup_list").cast("long").alias("n_setups"), r(minutes).alias("minutes"), F.array_join("freqs", ",").alias("freqs"))
 
 
-@query("kpi_1_2_agg_25_rates", "SELECT round(avg((length(new_date_pattern)>0)::INT)*100,6) allocated_pct, 100.0::DOUBLE same_site_pct FROM applied")
+@query("kpi_1_2_agg_25_rates", "SELECT round(avg((length(new_date_pattern)>0)::INT)*100,6) allocated_pct, (SELECT round(avg((d = 1 AND w <= 1)::INT)*100,6) FROM (SELECT count(DISTINCT day) d, count(DISTINCT week) w FROM applied GROUP BY tech, fl_id)) same_site_pct FROM applied")
 def _(s):
     ap = slots.apply_slots(s.assigned, s.stub())
     one = ap.groupBy("tech", "fl_id").agg(F.countDistinct("day").alias("d"), F.countDistinct("week").alias("w")).agg((F.avg(((F.col("d") == 1) & (F.col("w") <= 1)).cast("double")) * 100).alias("same_site_pct"))
@@ -470,18 +506,28 @@ def _(s):
     return s.stub().select("tech", "fl_id", slots.gate(F.lit(9.0), F.lit(4.0), F.col("monthly_hrs"), 8.0).alias("passes"))
 
 
-@query("srt_6_heaviest_slot", "SELECT tech, max(l) load_hrs, count(*) over_slots FROM (SELECT tech, week, day, round(sum(monthly_hrs),6) l FROM stub GROUP BY ALL) WHERE l > 8 GROUP BY 1")
+@query("srt_6_heaviest_slot", "SELECT tech, week, day, l AS load_hrs, over_slots FROM (SELECT *, row_number() OVER (PARTITION BY tech ORDER BY l DESC, week, day) rn, count(*) OVER (PARTITION BY tech) over_slots FROM (SELECT tech, week, day, round(sum(monthly_hrs),6) l FROM stub GROUP BY ALL) WHERE l > 8) WHERE rn = 1")
 def _(s):
-    return rounded(slots.search_load(s.stub())).where("load_hrs > 8").groupBy("tech").agg(F.max("load_hrs").alias("load_hrs"), F.count("*").alias("over_slots"))
+    over = rounded(slots.search_load(s.stub())).where("load_hrs > 8")
+    best = F.min_by(F.struct("week", "day", "load_hrs"), F.struct(-F.col("load_hrs"), F.col("week"), F.col("day")))
+    return over.groupBy("tech").agg(best.alias("b"), F.count("*").alias("over_slots")).select("tech", "b.week", "b.day", "b.load_hrs", "over_slots")
 
 
-@query("srt_4_5_zone_order", "SELECT tech, day, row_number() OVER (PARTITION BY tech ORDER BY avg(longitude), day)::INT west_east FROM stub GROUP BY tech, day")
+@query("srt_4_zone_order", "SELECT tech, day, row_number() OVER (PARTITION BY tech ORDER BY avg(longitude), day)::INT west_east FROM stub GROUP BY tech, day")
 def _(s):
     from pyspark.sql import Window
 
     return s.stub().groupBy("tech", "day").agg(F.avg("longitude").alias("lon")).select("tech", "day", F.row_number().over(Window.partitionBy("tech").orderBy("lon", "day")).alias("west_east"))
 
 
+@query("srt_5_week_order", "SELECT tech, day, week, row_number() OVER (PARTITION BY tech, day ORDER BY avg(latitude) DESC, week)::INT north_south FROM stub GROUP BY tech, day, week")
+def _(s):
+    from pyspark.sql import Window
+
+    north = Window.partitionBy("tech", "day").orderBy(F.desc("lat"), "week")
+    return s.stub().groupBy("tech", "day", "week").agg(F.avg("latitude").alias("lat")).select("tech", "day", "week", F.row_number().over(north).alias("north_south"))
+
+
 @query("jn_23_clu_4_nearest_zone", f"SELECT s.tech, s.fl_id, arg_min(c.day, ({km('s.latitude', 's.longitude', 'c.la', 'c.lo')}, c.day)) zone FROM stub s JOIN (SELECT tech, day, avg(latitude) la, avg(longitude) lo FROM stub GROUP BY ALL) c USING (tech) GROUP BY ALL")
 def _(s):
     st = s.stub()
@@ -508,7 +554,88 @@ def _(s):
 
 @query("opt_5_agg_19_srt_3_convergence", compact=True)
 def _(s):
-    return convergence(s.placed("joint")).groupBy("iter").agg(F.sum("moves").alias("moves"), F.count_if(F.col("moves") > 0).alias("active_techs")).orderBy("iter")
+    return convergence(s.placed("joint")).groupBy("iter").agg(F.sum("moves").alias("moves"), F.count_if(F.col("moves") > 0).alias("active_techs")).orderBy("iter").limit(20)
+
+
+_LOAD = "(SELECT tech, week, day, sum(monthly_hrs) l, sum(latitude*greatest(monthly_hrs,0.001))/sum(greatest(monthly_hrs,0.001)) c_lat, sum(longitude*greatest(monthly_hrs,0.001))/sum(greatest(monthly_hrs,0.001)) c_lon FROM stub GROUP BY ALL)"
+_MASS = "sum({0}*greatest(monthly_hrs,0.001))/sum(greatest(monthly_hrs,0.001))"
+
+
+@query("clu_1_lloyd_step", f"SELECT tech, z AS zone, round({_MASS.format('latitude')},6) c_lat, round({_MASS.format('longitude')},6) c_lon FROM (SELECT s.tech, s.fl_id, any_value(s.latitude) latitude, any_value(s.longitude) longitude, any_value(s.monthly_hrs) monthly_hrs, arg_min(c.day, (round(sqrt(pow(c.la-s.latitude,2)+pow(c.lo-s.longitude,2)),9), c.day)) z FROM stub s JOIN (SELECT tech, day, {_MASS.format('latitude')} la, {_MASS.format('longitude')} lo FROM stub GROUP BY ALL) c USING (tech) GROUP BY 1, 2) GROUP BY 1, 2")
+def _(s):
+    return rounded(steps.lloyd_step(s.stub(), "day"))
+
+
+@query("geo_5_median_step", f"SELECT tech, round(sum(latitude*p)/sum(p),6) m_lat, round(sum(longitude*p)/sum(p),6) m_lon FROM (SELECT *, greatest(monthly_hrs,0.001)/greatest(sqrt(pow(c_lat-latitude,2)+pow(c_lon-longitude,2)),1e-9) p FROM stub JOIN (SELECT tech, {_MASS.format('latitude')} c_lat, {_MASS.format('longitude')} c_lon FROM stub GROUP BY 1) USING (tech)) GROUP BY 1")
+def _(s):
+    return rounded(steps.median_step(s.stub()))
+
+
+@query("opt_1_first_move", f"""SELECT tech, fl_id, from_week, from_day, to_week, to_day FROM (SELECT o.tech, o.fl_id, o.week from_week, o.day from_day, t.week to_week, t.day to_day,
+  row_number() OVER (PARTITION BY o.tech ORDER BY round({km('o.latitude', 'o.longitude', 'f.c_lat', 'f.c_lon')} - {km('o.latitude', 'o.longitude', 't.c_lat', 't.c_lon')}, 6) DESC, o.fl_id, t.week, t.day) rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY tech ORDER BY round(l,9) DESC, week, day) h FROM {_LOAD} WHERE l > 8) f JOIN stub o ON f.h = 1 AND o.tech = f.tech AND o.week = f.week AND o.day = f.day
+  JOIN {_LOAD} t ON t.tech = o.tech AND NOT (t.week = o.week AND t.day = o.day) AND t.l + o.monthly_hrs < f.l) WHERE rn = 1""")
+def _(s):
+    return steps.first_move(s.stub())
+
+
+_GATE = "NOT (round(b.l,9)+s.monthly_hrs > 8 AND round(b.l,9)+s.monthly_hrs >= round(a.l,9))"
+
+
+@query("opt_2_3_first_candidates", f"SELECT v.tech, v.fl_id, v.top_week to_week, v.top_day to_day, {_GATE} AND v.top_votes >= 3 AS filter, {_GATE} AND v.top_votes > v.own_votes AS joint FROM vote v JOIN stub s USING (tech, fl_id) JOIN {_LOAD} a ON a.tech = v.tech AND a.week = v.week AND a.day = v.day JOIN {_LOAD} b ON b.tech = v.tech AND b.week = v.top_week AND b.day = v.top_day WHERE {_MOVED.replace('top_', 'v.top_').replace('<> week', '<> v.week').replace('<> day', '<> v.day')} AND {_GATE} AND (v.top_votes >= 3 OR v.top_votes > v.own_votes)")
+def _(s):
+    return steps.vote_candidates(s.stub())
+
+
+# Whole variants, through diagnostics -----------------------------------------------------------------------------------
+@query("opt_6_variant_v1", compact=True)
+def _(s):
+    return s.diagnosed(s.stored_placed("filter")).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+
+
+@query("opt_7_variant_v2", compact=True)
+def _(s):
+    return s.diagnosed(s.stored_placed("joint")).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+
+
+@query("opt_6_7_indicators", compact=True)
+def _(s):
+    rows = []
+    for variant in ("seed", "filter", "joint"):
+        placed = s.stored_placed(variant)
+        rows.append(rounded(slots.indicators(placed, slots.apply_slots(s.assigned, placed))).withColumn("variant", F.lit(variant)))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# Files -----------------------------------------------------------------------------------------------------------------
+_FILED = "SELECT booking_setup_id::VARCHAR booking_setup_id, fl_id::VARCHAR fl_id, nullif(frequency_type,'') frequency_type, nullif(dow_number,'') dow_number, week_number::VARCHAR week_number, nullif(preferred_resource,'') preferred_resource FROM derived"
+
+
+@query("src_1_snk_1_csv_strings", _FILED)
+def _(s):
+    table = s.derived.select("booking_setup_id", "fl_id", "frequency_type", "dow_number", "week_number", "preferred_resource")
+    path = tables.new_path(s.domain.spark, "csv")
+    shown = files.to_display(table)
+    files.write_csv(shown, path)
+    return files.from_display(files.read_strings(s.domain.spark, path, shown.columns))
+
+
+@query("src_2_snk_2_csv_typed", "SELECT city, fl_count, setup_count, required_run_days, round(total_monthly_hrs,6) total_monthly_hrs FROM area")
+def _(s):
+    table = s.area.select("city", "fl_count", "setup_count", "required_run_days", "total_monthly_hrs")
+    path = tables.new_path(s.domain.spark, "csv")
+    if not files.write_if_any(table, path):
+        return rounded(table)
+    return rounded(files.read_typed(s.domain.spark, path, table.schema))
+
+
+@query("snk_4_report", "SELECT (SELECT count(*) FROM stub) fls, (SELECT count(*) FROM applied) setups, (SELECT count(*) FROM cap) slots, (SELECT count(DISTINCT tech) FROM stub) techs, TRUE AS readable")
+def _(s):
+    held = files.report_payload(s.stub(), slots.apply_slots(s.assigned, s.stub()), _cap(s))
+    page = files.report_page(held)
+    back = files.payload_of(page)
+    row = (len(back["fls"]), sum(len(f["setups"]) for f in back["fls"]), len(back["slots"]), len(back["techs"]), back == held)
+    return s.domain.spark.createDataFrame([row], "fls long, setups long, slots long, techs long, readable boolean")
 
 
 # Operators that the design documents specify -----------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from roundsmith.config import DAYS, DEFAULT, SchedulingConfig
 from roundsmith.functions import recurrence
 from roundsmith.kernels import cluster, search
 from roundsmith.operators import assign, export, profile, slots
+from roundsmith.sources import tables
 
 SLOTTED = "tech string, fl_id long, latitude double, longitude double, monthly_hrs double, anchor_tier int, week int, day string, is_outlier boolean, moves_rebalance int, moves_filter int, log array<struct<iter:int,moves:int>>"
 
@@ -56,6 +57,7 @@ class Schedule:
 
     def __init__(self, domain, config: SchedulingConfig = DEFAULT, compact: bool = False):
         self.domain, self.config, self.compact = domain, config, compact
+        self._stored: dict[str, DataFrame] = {}
 
     @cached_property
     def derived(self) -> DataFrame:
@@ -107,5 +109,11 @@ class Schedule:
     def placed(self, variant: str = "filter") -> DataFrame:
         return place(self.tech_sites, variant, self.config)
 
+    def stored_placed(self, variant: str = "filter") -> DataFrame:
+        """``placed`` written once to the shared folder: the search is not run again for each table that follows it."""
+        if variant not in self._stored:
+            self._stored[variant] = tables.stored(self.placed(variant), f"placed-{variant}")
+        return self._stored[variant]
+
     def diagnosed(self, placed: DataFrame) -> DataFrame:
         return slots.flag_disconnected(placed, slots.zones(placed, self.config))

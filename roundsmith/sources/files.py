@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roundsmith.functions.workload import normalised
+from roundsmith.functions.workload import heat_band, normalised
+from roundsmith.operators import slots
 
 #: Display names of the export, in its order, and the names used inside.
 DISPLAY_NAMES = {
@@ -54,18 +56,69 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
-_PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body>
-<h1>{title}</h1><input id="q" placeholder="site or city"><table id="t"></table>
-<script>const data = {data};
-const show = () => {{ const q = document.getElementById("q").value.toLowerCase();
-  document.getElementById("t").innerHTML = data.fls.filter(f => (f.name + " " + f.city).toLowerCase().includes(q))
-    .map(f => "<tr><td>" + [f.name, f.city, f.tech, f.week, f.day, f.hrs].join("</td><td>") + "</td></tr>").join(""); }};
-document.getElementById("q").oninput = show; show();</script></body></html>"""
-
-
-def write_report(payload: dict, path: str, title: str = "Schedule") -> int:
-    """A self-contained page around a report payload of bounded size; its length in characters."""
-    page = _PAGE.format(title=title, data=json.dumps(payload).replace("</", "<\\/"))
+def report_payload(placed: DataFrame, applied: DataFrame, slot_loads: DataFrame, most: int = 200_000) -> dict:
+    """What the report shows, as plain values: sites with their setups, slot loads, and the choices in their order.
+
+    A page is read by a person, so it holds at most ``most`` sites; choose technicians or a branch before.
+    """
+    records = slots.site_records(applied, placed)
+    if records.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} sites are too many for one page")
+    setup = lambda x: F.struct(x["booking_setup_id"].alias("id"), x["freq"].alias("freq"), x["duration"].alias("minutes"), x["pattern"].alias("pattern"))
+    fls = records.select("fl_id", F.col("fl_name").alias("name"), "city", "tech", "week", "day", F.round("monthly_hrs", 2).alias("hrs"), "is_outlier", F.transform("setup_list", setup).alias("setups"))
+    loads = slot_loads.select("tech", "week", "day", F.col("load_hrs").alias("load"), "over_capacity", heat_band(F.col("load_hrs")).alias("band"))
+    lists = slots.filter_lists(placed, applied).orderBy("list", "position").collect()
+    held = {name: [r.value for r in lists if r.list == name] for name in ("tech", "freq", "city")}
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    return {"fls": rows(fls.orderBy("tech", "fl_id")), "slots": rows(loads.orderBy("tech", "week", "day")), "techs": held["tech"], "freqs": held["freq"], "cities": held["city"]}
+
+
+#: The page shows values as text nodes only, so no name can be markup.
+_PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title>
+<style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:2px 6px}}.b0{{background:#fff}}.b1{{background:#eef}}.b2{{background:#ffd}}.b3{{background:#fda}}.b4{{background:#f88}}</style></head><body>
+<h1>{title}</h1><p id="stats"></p>
+<p><input id="q" placeholder="site or city"><select id="tech" multiple></select><select id="day" multiple></select><select id="week" multiple></select><select id="freq" multiple></select></p>
+<h2>Loads</h2><table id="heat"></table><h2>Slots over capacity</h2><table id="over"></table><h2>Sites</h2><table id="sites"></table>
+<script id="data" type="application/json">{data}</script>
+<script>const data = JSON.parse(document.getElementById("data").textContent);
+const DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday"], WEEKS = [1, 2, 3, 4], BANDS = ["light", "over 6", "over 8", "over 10", "over 12"];
+const el = id => document.getElementById(id), chosen = id => new Set([...el(id).selectedOptions].map(o => o.value));
+const fill = (id, values) => values.forEach(v => {{ const o = document.createElement("option"); o.textContent = o.value = v; el(id).append(o); }});
+fill("tech", data.techs); fill("day", DAYS); fill("week", WEEKS); fill("freq", data.freqs);
+const row = (table, values, classes = []) => {{ const r = table.insertRow(); values.forEach((v, i) => {{ const c = r.insertCell(); c.textContent = v; c.className = classes[i] || ""; }}); }};
+const show = () => {{
+  const techs = chosen("tech"), days = chosen("day"), weeks = chosen("week"), freqs = chosen("freq"), q = el("q").value.toLowerCase();
+  const any = (set, v) => set.size === 0 || v === null || v === "" || set.has(String(v));
+  const fls = data.fls.filter(f => any(techs, f.tech) && any(days, f.day) && any(weeks, f.week) && (freqs.size === 0 || f.setups.some(s => any(freqs, s.freq)))
+    && ((f.name || "") + " / " + (f.city || "")).toLowerCase().includes(q));
+  const slots = data.slots.filter(s => any(techs, s.tech)), over = slots.filter(s => s.over_capacity || s.load > 8);
+  el("stats").textContent = fls.length + " sites, " + fls.reduce((a, f) => a + f.hrs, 0).toFixed(1) + " hours a month, " + new Set(fls.map(f => f.tech)).size + " technicians, " + over.length + " slots over capacity";
+  ["heat", "over", "sites"].forEach(id => el(id).replaceChildren());
+  row(el("heat"), ["", ...WEEKS.flatMap(w => DAYS.map(d => w + "-" + d.slice(0, 3)))]);
+  data.techs.filter(t => any(techs, t)).forEach(t => {{
+    const of = WEEKS.flatMap(w => DAYS.map(d => slots.find(s => s.tech === t && s.week === w && s.day === d)));
+    row(el("heat"), [t, ...of.map(s => s ? s.load : "")], ["", ...of.map(s => s ? "b" + BANDS.indexOf(s.band) : "")]); }});
+  over.forEach(s => row(el("over"), [s.tech, s.week, s.day, s.load]));
+  fls.forEach(f => row(el("sites"), [f.name, f.city, f.tech, f.week, f.day, f.hrs, f.is_outlier ? "outlier" : "", f.setups.length]));
+}};
+["tech", "day", "week", "freq"].forEach(id => el(id).onchange = show); el("q").oninput = show; show();</script></body></html>"""
+
+
+def report_page(payload: dict, title: str = "Schedule") -> str:
+    """A self-contained page around a report payload."""
+    return _PAGE.format(title=html.escape(title), data=json.dumps(payload, sort_keys=True).replace("<", "\\u003c"))
+
+
+def payload_of(page: str) -> dict:
+    """The payload that a page holds."""
+    mark = '<script id="data" type="application/json">'
+    begin = page.index(mark) + len(mark)
+    return json.loads(page[begin:page.index("</script>", begin)])
+
+
+def write_report(payload: dict, path: str, title: str = "Schedule") -> dict:
+    """Writes the page; the size report: characters, kilobytes, sites, slots."""
+    page = report_page(payload, title)
     with open(path, "w", encoding="utf-8") as file:
         file.write(page)
-    return len(page)
+    return {"characters": len(page), "kilobytes": round(len(page.encode()) / 1024, 1), "sites": len(payload["fls"]), "slots": len(payload["slots"])}
