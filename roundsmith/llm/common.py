@@ -26,13 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 8192) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
 
     This cuts the lineage durably: a lost executor never forces the work before it to be redone.
-    The table goes when the driver's JVM ends.
+    Where a bound of its ``rows`` is known, the table is written by as many tasks as that takes, so that many small tables
+    are not many more small files.  The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     path = f"{shared_folder(spark)}/roundsmith/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,9 +25,9 @@ With 32 bands of 4 registers a pair at similarity 0.8 shares no bucket with a pr
 
 Cases: a document without words (or null) has no shingles and links with nothing; one with fewer words
 than a shingle has its whole sequence as one; rows that share a doc_id are one document and so one
-component; rows with a null doc_id form components like others and sort before any number only within
-ties (their component_id is the smallest non-null doc_id, or null); an empty table gives no rows;
-further columns are ignored.  Texts may be of any length: words are hashed in slices, a set is held
+component; rows with a null doc_id form components like others by their texts (their component_id is the smallest
+non-null doc_id, or null), and the first of a component is one of them only where it has no other; an empty table gives no
+rows; further columns are ignored.  Texts may be of any length: words are hashed in slices, a set is held
 whole, and blocks of sets are cut by bytes.
 """
 
@@ -102,27 +102,29 @@ def _estimates(sketch: SetSketch, n_u, n_v, a: np.ndarray, b: np.ndarray) -> np.
     return sketch.jaccard(np.asarray(n_u, np.float64), np.asarray(n_v, np.float64), (a > b).sum(axis=1), (a < b).sum(axis=1))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(a, b) → (node, label): one label for each connected component, a node of it.
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
+    """edges(a, b), at most ``rows`` if known → (node, label): one label for each connected component, a node of it.
 
     Every node moves to its smallest neighbour, the edges move along, and loops and repeats go; rounds
     follow until no edge is left.  Edges shrink by a factor each round because nodes are hashes, in random
     order.  Rounds are written to the shared folder.
     """
-    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
+    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0", rows)
+    n = first = left.count()
     label, step = None, 0
-    while label is None or not left.isEmpty():
+    while label is None or n:
         step += 1
         both = left.select(F.col("a").alias("node"), F.col("b").alias("m")).union(left.select(F.col("b").alias("node"), F.col("a").alias("m")))
-        move = stored(both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("to")), f"{name}-move-{step}")
+        move = stored(both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("to")), f"{name}-move-{step}", 2 * n)
         if label is None:
             label = move.select("node", F.col("to").alias("label"))
         else:
             label = label.join(move.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         side = lambda at: move.select(F.col("node").alias(at), F.col("to").alias(f"{at}_to"))
         moved = left.join(side("a"), "a").join(side("b"), "b").where("a_to <> b_to")
-        left = stored(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-{step}")
-    return stored(label, f"{name}-labels")
+        left = stored(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-{step}", n)
+        n = left.count()
+    return stored(label, f"{name}-labels", 2 * first)
 
 
 def linked_pairs(ids: list, label_pairs: np.ndarray) -> list[tuple]:
@@ -162,13 +164,14 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, members_per_task: int = 2048) -> DataFrame:
-    """The pairs(h, c) that reach the similarity on full sets(h, set).
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None, members_per_task: int = 2048) -> DataFrame:
+    """The pairs(h, c), at most ``rows`` if known, that reach the similarity on full sets(h, set).
 
     The pairs of a centre ``c`` are dealt into groups; a group's rows stream past the centre's set.
     """
-    pairs = stored(pairs.select("h", "c").distinct(), "pairs")
-    crowd = stored(pairs.groupBy("c").agg(F.ceil(F.count("*") / members_per_task).cast("int").alias("k")), "pairs-crowd")
+    pairs = stored(pairs.select("h", "c").distinct(), "pairs", rows)
+    n = pairs.count()
+    crowd = stored(pairs.groupBy("c").agg(F.ceil(F.count("*") / members_per_task).cast("int").alias("k")), "pairs-crowd", n)
     dealt = pairs.join(crowd, "c").select("h", "c", F.pmod(F.xxhash64("h"), F.col("k")).cast("int").alias("salt"))
     members = dealt.join(sets.select("h", "set"), "h").select("c", "salt", "h", "set")
     heads = crowd.select("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(sets.select(F.col("h").alias("c"), "set"), "c")
@@ -191,30 +194,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, members_per_task:
     return rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "h").mapInArrow(run, "h binary, c binary")
 
 
-def _relabelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """members(h, label, ...) with the labels that links between labels (a, b) bring together made one."""
+def _relabelled(members: DataFrame, links: DataFrame, name: str, rows: int) -> DataFrame:
+    """members(h, label, ...), ``rows`` of them, with the labels that links between labels (a, b) bring together made one."""
     to = components(links, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
     rest = [c for c in members.columns if c != "label"]
-    return stored(members.join(to, "label", "left").select(*rest, F.coalesce("to", "label").alias("label")), f"{name}-members")
+    return stored(members.join(to, "label", "left").select(*rest, F.coalesce("to", "label").alias("label")), f"{name}-members", rows)
 
 
-def _crowds(members: DataFrame) -> tuple[DataFrame, int, int]:
+def _crowds(members: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
     """Clusters of several components: (cluster, top, members, n_top, bytes); the number of pairs with a free member, and of members."""
     per = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     crowds = per.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members"), F.max("n").alias("n_top"), F.sum("size").alias("size"))
-    crowds = stored(crowds.where("members > n_top"), "crowds")
+    crowds = stored(crowds.where("members > n_top"), "crowds", rows)
     total = crowds.agg(F.sum((F.col("members") - F.col("n_top")) * F.col("members")).alias("pairs"), F.sum("members").alias("members")).first()
     return crowds, total.pairs or 0, total.members or 0
 
 
-def _tried(members: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int, step: int, tries: int = 16) -> DataFrame:
+def _tried(members: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int, step: int, rows: int, tries: int = 16) -> DataFrame:
     """Links (a, b) of labels between free members and ``tries`` random members of their cluster's largest component."""
     of = members.join(crowds.select("cluster", "top"), "cluster")
     slot = F.pmod(F.xxhash64("h", F.lit(step)), F.lit(tries))
     heads = of.where("label = top").groupBy("cluster", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("h", F.lit(-step)).alias("r"), "h"))["h"].alias("c"))
     free = of.where("label <> top").select("cluster", "h", "label", F.col("top").alias("other"))
-    pairs = stored(free.join(heads, "cluster").select("h", "c", "label", "other"), f"tried-{step}")
-    return verified(pairs, sets, percent).join(pairs, ["h", "c"]).select(F.col("label").alias("a"), F.col("other").alias("b"))
+    pairs = stored(free.join(heads, "cluster").select("h", "c", "label", "other"), f"tried-{step}", tries * rows)
+    return verified(pairs, sets, percent, tries * rows).join(pairs, ["h", "c"]).select(F.col("label").alias("a"), F.col("other").alias("b"))
 
 
 def _compared(members: DataFrame, crowds: DataFrame, sets: DataFrame, sketch: SetSketch, percent: int, block_bytes: int) -> DataFrame:
@@ -281,7 +284,7 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: i
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, loose: float = 0.4, sure: float = 0.8, bucket_block: int = 1024, block_bytes: int = 16 << 20, spare: int = 256) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept (by doc_id), first (of its component, by doc_id and text).
 
     ``spare``: members of clusters go to blocks when a member has so many open pairs on average; it changes the order of work only.
     """
@@ -302,13 +305,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
     read_docs = stored(base.mapInArrow(read, "doc_id long, th long, n long, h binary, sketch binary"), "sketches")
-    full = read_docs.where("n > 0")
+    full, n_docs = read_docs.where("n > 0"), read_docs.count()
     # A class is named by its hash; one of its rows stands for it.
-    classes = stored(full.groupBy("h").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("head")), "classes")
+    classes = stored(full.groupBy("h").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "th")).alias("head")), "classes", n_docs)
 
     banded = classes.mapInArrow(_band_rows(bands, rows), "key long, h binary")
     centre = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("h").alias("r"), F.col("h").alias("h"))).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.h").alias("c"))
-    placed = stored(banded.join(centre, "key").where("h <> c").select("key", "h", "c"), "placed")
+    placed = stored(banded.join(centre, "key").where("h <> c").select("key", "h", "c"), "placed", bands * n_docs, 1 << 16)
+    n_placed = placed.count()
     side = lambda key, to: classes.select(F.col("h").alias(key), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}"))
     pairs = placed.select("h", "c").distinct().join(side("h", 1), "h").join(side("c", 2), "c")
 
@@ -319,13 +323,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
                 found = _estimates(sketch, batch.column("n1").to_numpy(), batch.column("n2").to_numpy(), s1, s2)
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(found)], names=["h", "c", "estimate"])
 
-    judged = stored(pairs.select("h", "c", "n1", "n2", "s1", "s2").mapInArrow(estimate, "h binary, c binary, estimate double"), "judged")
+    judged = stored(pairs.select("h", "c", "n1", "n2", "s1", "s2").mapInArrow(estimate, "h binary, c binary, estimate double"), "judged", n_placed)
     near = judged.where(F.col("estimate") >= loose).select(F.col("h").alias("a"), F.col("c").alias("b"))
 
     # What the centre doesn't settle: members unlike it go with each other and with those that are like it, but not surely.
-    rest = stored(placed.join(judged.where(F.col("estimate") < sure), ["h", "c"]).select("key", "h", (F.col("estimate") >= loose).alias("linked")), "rest")
+    rest = stored(placed.join(judged.where(F.col("estimate") < sure), ["h", "c"]).select("key", "h", (F.col("estimate") >= loose).alias("linked")), "rest", n_placed, 1 << 16)
     counts = rest.groupBy("key").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_free")).where("n_free > 0 and n_linked + n_free > 1")
-    counts = stored(counts, "rest-counts")
+    counts = stored(counts, "rest-counts", rest.count())
     parts = lambda n: F.ceil(F.col(n) / bucket_block).cast("int")
     dealt = rest.join(counts, "key").select("key", "h", "linked", parts("n_free").alias("kf"), parts("n_linked").alias("kl"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), F.when(F.col("linked"), F.col("kl")).otherwise(F.col("kf"))).cast("int")).join(classes.drop("head"), "h")
@@ -336,6 +340,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     further = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_buckets(sketch, percent), "a binary, b binary")
 
     cluster = components(near.union(further), "clusters").select(F.col("node").alias("h"), F.col("label").alias("cluster"))
+    n_members = cluster.count()
 
     # Only members of clusters of two classes or more need their sets: one text of each class.
     wanted = cluster.join(classes, "h").select("h", "head.doc_id", "head.th").withColumnsRenamed({"doc_id": "id", "th": "hash"})
@@ -348,36 +353,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     same = base.doc_id.eqNullSafe(wanted.id) & (base.th == wanted.hash)
     texts = base.join(wanted, same).select("h", "text").dropDuplicates(["h"])
-    held = stored(texts.mapInArrow(sets, "h binary, set binary, sketch binary"), "sets")
+    held = stored(texts.mapInArrow(sets, "h binary, set binary, sketch binary"), "sets", n_members, 2048)
 
     # Pairs with a centre that look linked; then free members against random ones; then all pairs with a free member.
-    members = stored(cluster.join(classes.select("h", F.col("n").alias("size")), "h").withColumn("label", F.col("h")), "members")
+    members = stored(cluster.join(classes.select("h", F.col("n").alias("size")), "h").withColumn("label", F.col("h")), "members", n_members)
     likely = judged.where(F.col("estimate") >= percent / 100 - 0.05)
-    members = _relabelled(members, verified(likely, held, percent).toDF("a", "b"), "links")
-    crowds, open_pairs, n_open = _crowds(members)
+    members = _relabelled(members, verified(likely, held, percent, n_placed).toDF("a", "b"), "links", n_members)
+    crowds, open_pairs, n_open = _crowds(members, n_members)
     step = 0
     while open_pairs > spare * n_open:
         step += 1
-        members = _relabelled(members, _tried(members, crowds, held, percent, step), f"tried-{step}")
+        members = _relabelled(members, _tried(members, crowds, held, percent, step, n_open), f"tried-{step}", n_members)
         before = open_pairs
-        crowds, open_pairs, n_open = _crowds(members)
+        crowds, open_pairs, n_open = _crowds(members, n_members)
         if open_pairs > 0.8 * before:
             break
     if open_pairs:
         crowds = crowds.withColumnRenamed("size", "crowd_size")
-        members = _relabelled(members, _compared(members, crowds, held, sketch, percent, block_bytes), "compared")
+        members = _relabelled(members, _compared(members, crowds, held, sketch, percent, block_bytes), "compared", n_members)
 
     # Rows of one doc_id with different texts are one document: they link their classes.
-    mine = stored(full.select("doc_id", "h").join(members.select("h", "label"), "h", "left").select("doc_id", F.coalesce("label", "h").alias("label")), "labels")
+    mine = stored(full.select("doc_id", "th", "h").join(members.select("h", "label"), "h", "left").select("doc_id", "th", F.coalesce("label", "h").alias("label")), "labels", n_docs, 1 << 16)
     twice = mine.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("label").alias("all")).where("a <> b")
     if not twice.isEmpty():
         more = components(twice.select("a", F.explode("all").alias("b")), "repeated").select(F.col("node").alias("label"), F.col("label").alias("to"))
-        mine = mine.join(more, "label", "left").select("doc_id", F.coalesce("to", "label").alias("label"))
-    least = stored(mine.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    of = mine.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = read_docs.select("doc_id", "n").join(of.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        mine = mine.join(more, "label", "left").select("doc_id", "th", F.coalesce("to", "label").alias("label"))
+    # The first of a component has the smallest doc_id; null ones come last, and texts go by their hash.
+    heads = stored(mine.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("head")), "heads", n_docs, 1 << 16)
+    is_first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))
+    of = mine.join(heads, "label").select(F.col("doc_id").alias("id"), F.col("th").alias("hash"), "component_id", is_first.alias("first")).distinct()
+    here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash"))
+    some = read_docs.where("n > 0").select("doc_id", "th", "n").join(of, here).select("doc_id", "th", "n", "component_id", "first")
+    by_id = of.where("id is not null").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    bare = read_docs.where("n = 0").select("doc_id", "th", "n").join(by_id, F.col("doc_id") == F.col("id"), "left")
+    bare = bare.select("doc_id", "th", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component_id").isNull().alias("first"))
+    out = some.unionByName(bare).select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", "first")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _within_buckets(sketch: SetSketch, percent: int):

@@ -124,15 +124,15 @@ def best_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple
     return [p for patterns in by_residual.values() for p in patterns]
 
 
-def merge_round(bins: DataFrame, groups: int, capacity: int, name: str) -> DataFrame:
-    """bins(leaf, bin, size) → (bin, parent, shift, leaf, size): best-fit of whole bins within each of ``groups`` groups.
+def merge_round(bins: DataFrame, groups: int, capacity: int, name: str, rows: int) -> DataFrame:
+    """bins(leaf, bin, size), at most ``rows`` → (bin, parent, shift, leaf, size): best-fit of whole bins within each of ``groups`` groups.
 
     ``leaf`` is the group of the first round that a bin comes from; ranks are counted within it, and leaves follow each other.
     """
     bins = bins.withColumn("grp", F.pmod(F.xxhash64("leaf"), F.lit(groups)).cast("int"))
-    counts = stored(bins.groupBy("grp", "leaf", "size").agg(F.count("*").alias("n")), f"{name}-counts")
+    counts = stored(bins.groupBy("grp", "leaf", "size").agg(F.count("*").alias("n")), f"{name}-counts", rows)
     before = Window.partitionBy("grp", "size").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(counts.select("leaf", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{name}-starts")
+    starts = stored(counts.select("leaf", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{name}-starts", rows)
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = defaultdict(int)
@@ -149,14 +149,14 @@ def merge_round(bins: DataFrame, groups: int, capacity: int, name: str) -> DataF
     sizes = counts.groupBy("grp", "size").agg(F.sum("n").alias("n"))
     ranges = sizes.groupBy("grp").applyInPandas(plan, "grp int, size long, lo long, hi long, pattern long, shift long")
     # At most as many ranges for a size as there are patterns.
-    ranges = stored(ranges.groupBy("grp", "size").agg(F.collect_list(F.struct("lo", "hi", "pattern", "shift")).alias("ranges")), f"{name}-ranges")
+    ranges = stored(ranges.groupBy("grp", "size").agg(F.collect_list(F.struct("lo", "hi", "pattern", "shift")).alias("ranges")), f"{name}-ranges", rows)
     own = Window.partitionBy("leaf", "size").orderBy("bin")
-    ranked = stored(bins.withColumn("rank", F.row_number().over(own).cast("long") - 1), f"{name}-ranks")
+    ranked = stored(bins.withColumn("rank", F.row_number().over(own).cast("long") - 1), f"{name}-ranks", rows)
     ranked = ranked.join(starts, ["leaf", "size"]).withColumn("rank", F.col("rank") + F.col("start"))
     place = F.filter("ranges", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))
     found = ranked.join(ranges, ["grp", "size"]).withColumn("place", F.element_at(F.when(F.size(place) > 0, place), 1)).where("place is not null")
     found = found.select("grp", "leaf", "bin", "size", "place.pattern", (F.col("rank") - F.col("place.lo")).alias("k"), "place.shift")
-    found = stored(found, f"{name}-found")
+    found = stored(found, f"{name}-found", rows)
     heads = found.where("shift = 0").select("grp", "pattern", "k", F.col("bin").alias("parent"), F.col("leaf").alias("parent_leaf"))
     return found.join(heads, ["grp", "pattern", "k"]).select("bin", "parent", "shift", F.col("parent_leaf").alias("leaf"), "size")
 
@@ -164,7 +164,8 @@ def merge_round(bins: DataFrame, groups: int, capacity: int, name: str) -> DataF
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 4096, full: float = 0.98, fan_in: int = 64, items_per_group: int = 32768) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = local_pieces(docs, tokenizer, kind, end_id, capacity, items_per_group)
-    bins = stored(pieces.groupBy("leaf", "bin").agg(F.sum("length").alias("size")), "bins")
+    bins = stored(pieces.groupBy("leaf", "bin").agg(F.sum("length").alias("size")), "bins", pieces.count(), 1 << 16)
+    n_bins = bins.count()
     placed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     leaves = bins.select("leaf").distinct().count()
     groups, level = max(1, leaves), 0
@@ -173,12 +174,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capa
         least = bins.agg(F.min("size")).first()[0]
         # A bin that even the smallest one would overfill is final.
         open_bins = bins.where((F.col("size") < int(full * capacity)) & (F.col("size") + least <= capacity))
-        moved = stored(merge_round(open_bins, groups, capacity, f"round-{level}"), f"moved-{level}")
+        moved = stored(merge_round(open_bins, groups, capacity, f"round-{level}", n_bins), f"moved-{level}", n_bins)
         step = moved.where("shift > 0").select(F.col("bin").alias("sequence_id"), "parent", "shift")
         placed = placed.join(step, "sequence_id", "left").select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
         )
         if groups > 1:
             merged = moved.groupBy("leaf", F.col("parent").alias("bin")).agg(F.sum("size").alias("size"))
-            bins = stored(bins.join(moved.select("bin"), "bin", "left_anti").unionByName(merged), f"bins-{level}")
+            bins = stored(bins.join(moved.select("bin"), "bin", "left_anti").unionByName(merged), f"bins-{level}", n_bins)
     return placed

@@ -152,7 +152,8 @@ def find_personal_data(docs: DataFrame, discount: float = 0.5, generalise_at: fl
     found = stored(found.withColumnRenamed("text", "rest").withColumn("row", F.monotonically_increasing_id()), "pii")
 
     # Copies count once: one row stands for each text.
-    one = stored(found.groupBy("text_hash").agg(F.min("row").alias("row")).select("row"), "pii-texts")
+    n_rows = found.count()
+    one = stored(found.groupBy("text_hash").agg(F.min("row").alias("row")).select("row"), "pii-texts", n_rows, 1 << 16)
     n_docs = one.count()
     words = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), _term))
     entities = F.array_distinct(F.concat(*map(_entities, KINDS)))

@@ -41,7 +41,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,10 +83,11 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), text_or_empty().alias("text"))
     source = source.withColumn("text_hash", F.xxhash64("text"))
     rows = stored(source.mapInArrow(scan, "doc_id long, repository string, owner string, text_hash long, found array<struct<start:long,kind:int,end:long,value:binary,looks_live:boolean>>"), "candidates")
+    n_found = rows.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
     some = rows.where(F.size("found") > 0).select("doc_id", "repository", "owner", "text_hash", F.explode("found").alias("f"))
     # Two levels of partial sums: a value that fills a third of the corpus is reduced before each exchange.
     spread = lambda c, to: some.groupBy(F.col("f.value").alias("value"), F.col(c).alias("x")).agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias(to))
-    ownership = stored(spread("repository", "repositories").join(spread("owner", "owners"), "value"), "ownership")
+    ownership = stored(spread("repository", "repositories").join(spread("owner", "owners"), "value"), "ownership", n_found)
     judged = some.select("doc_id", "text_hash", "f.*").distinct().join(ownership, "value")
     verdict = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied").when(F.col("looks_live"), "live").otherwise("weak")
     judged = judged.select("doc_id", "text_hash", F.struct("start", "kind", "end", "repositories", "owners", verdict.alias("verdict")).alias("f"))

@@ -45,10 +45,11 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class BlockMaxIndex:
     """Inverted index of unit vectors (terms, weights), with a maximum for each term and block.
 
-    The lists of terms that a ``full``th of all examples hold are kept as full rows, all others as postings.
+    The lists of terms that a ``full``th of all examples hold are kept as full rows, all others as postings.  A worker
+    holds some 20 bytes for each word of each example.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int, full: int = 32):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int, full: int = 16):
         order = self._alike(vectors, labels, n_terms)
         self.labels, self.ids = np.asarray(labels, np.float64)[order], [ids[i] for i in order]
         self.n, self.n_blocks = len(order), max(1, -(-len(order) // BLOCK))
@@ -57,21 +58,23 @@ class BlockMaxIndex:
         terms = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
         weights = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
         common = np.bincount(terms, minlength=n_terms) * full >= max(self.n, full * BLOCK)
-        self.row_of = np.where(common, np.cumsum(common) - 1, -1)
+        self.row_of = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
         self.table = np.zeros((int(common.sum()), self.n_blocks, BLOCK))
         held = common[terms]
         self.table[self.row_of[terms[held]], rows[held] // BLOCK, rows[held] % BLOCK] = weights[held]
         self.table_largest = self.table.max(axis=2)
         rows, terms, weights = rows[~held], terms[~held], weights[~held]
         by_term = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[by_term].astype(np.int32), weights[by_term], terms[by_term]
+        self.rows, self.weights, terms = rows[by_term].astype(np.uint16 if self.n < 1 << 16 else np.uint32), weights[by_term], terms[by_term]
         # Entries are the runs of one term and block within the postings.
         block = self.rows // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.zeros(0, np.int64)
-        self.begin, self.end = new, np.append(new[1:], len(terms))
+        self.begin = np.append(new, len(terms)).astype(np.uint32)
         self.block = block[new]
         self.largest = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
-        self.first = np.searchsorted(terms[new], np.arange(n_terms + 1))
+        # A bound may be a little too large, never too small.
+        self.largest = np.nextafter(self.largest.astype(np.float32), np.float32(2))
+        self.first = np.searchsorted(terms[new], np.arange(n_terms + 1)).astype(np.int32)
 
     @staticmethod
     def _alike(vectors: list, labels: np.ndarray, n_terms: int, leaders: int = 64) -> np.ndarray:
@@ -107,8 +110,8 @@ class BlockMaxIndex:
             place = np.full(self.n_blocks, -1)
             place[these] = np.arange(len(these)) * BLOCK
             some = np.flatnonzero(place[block] >= 0)
-            posting, own = _ranges(self.begin[entry[some]], self.end[entry[some]])
-            example = self.rows[posting]
+            posting, own = _ranges(self.begin[entry[some]].astype(np.int64), self.begin[entry[some] + 1].astype(np.int64))
+            example = self.rows[posting].astype(np.int64)
             got += np.bincount(place[example // BLOCK] + example % BLOCK, self.weights[posting] * weight[some][own], len(got))
             hit = np.flatnonzero(got >= max(kth, 1e-300))
             found = these[hit // BLOCK] * BLOCK + hit % BLOCK
@@ -252,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, max_examples: int = 4096,
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted and evidence (nearest examples with labels and cosines) of every row."""
+    """doc_id, text_hash, score, predicted and evidence (nearest examples with labels and cosines) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +266,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             first = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             got = [m.score(term[a:b], count[a:b]) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array([e for _, e in got], kind)],
-                names=["doc_id", "score", "predicted", "evidence"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array([e for _, e in got], kind)],
+                names=["doc_id", "text_hash", "score", "predicted", "evidence"],
             )
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:double,cosine:double>>")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return base.mapInArrow(run, "doc_id long, text_hash long, score double, predicted int, evidence array<struct<doc_id:long,toxic:double,cosine:double>>")
 
 
 def held_out(doc_id):
