@@ -105,6 +105,19 @@ def _places(name, kind, pattern, group, least):
     WHERE w IS NOT NULL) WHERE length(v) >= {least}"""
 
 
+def _spans(name, kind, pattern, valid):
+    """SQL for (doc_id, t, name, kind, a, b, v) of the valid matches of a kind of personal data."""
+    return f"""SELECT doc_id, t, '{name}' AS name, {kind} AS kind, b - length(w) AS a, b, w AS v FROM (
+    SELECT *, (sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS b FROM (
+      SELECT doc_id, t, unnest(regexp_extract_all(t, '{pattern}', 0)) AS w, unnest(string_split_regex(t, '{pattern}')) AS g,
+        unnest(range(len(regexp_extract_all(t, '{pattern}', 0)) + 1)) AS i FROM texts)
+    WHERE w IS NOT NULL) WHERE {valid}"""
+
+
+_DIGITS = "regexp_replace(w, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
+
+
 SQL = {
     "op1_chat_preference": f"""
 WITH said AS (
@@ -125,6 +138,40 @@ SELECT pair_id, chosen_id, rejected_id, n::INTEGER AS n_prompt_turns,
        coalesce({_RENDER.format("p")}, '') AS prompt, coalesce({_RENDER.format("cc")}, '') AS chosen, coalesce({_RENDER.format("rr")}, '') AS rejected,
        coalesce({_MASK.format("cc")}, '') AS chosen_mask, coalesce({_MASK.format("rr")}, '') AS rejected_mask
 FROM cut""",
+    "op2_pii_sanitisation": rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  {_spans('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+', 'true')}
+  UNION ALL {_spans('ip', 1, '[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)', "len(list_filter(string_split(w, '.'), lambda p: p::DOUBLE > 255)) = 0")}
+  UNION ALL {_spans('card', 2, '[0-9]([ -]?[0-9])+', f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")}
+  UNION ALL {_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 8 AND 15")}),
+held AS (SELECT doc_id, list(struct_pack(a := a, b := b)) AS spans FROM base GROUP BY doc_id),
+rests AS (
+  SELECT doc_id, t, CASE WHEN spans IS NULL THEN t ELSE array_to_string(list_transform(string_split(t, ''), lambda c, i: CASE WHEN len(list_filter(spans, lambda s: s.a < i AND i <= s.b)) > 0 THEN ' ' ELSE c END), '') END AS rest
+  FROM texts LEFT JOIN held USING (doc_id)),
+words AS (
+  SELECT doc_id, t, lower(w) AS term, b - length(w) AS a, b FROM (
+    SELECT *, (sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS b FROM (
+      SELECT doc_id, t, unnest(regexp_extract_all(rest, '[\p{{L}}\p{{N}}]+')) AS w, unnest(string_split_regex(rest, '[\p{{L}}\p{{N}}]+')) AS g, unnest(range(len(regexp_extract_all(rest, '[\p{{L}}\p{{N}}]+')) + 1)) AS i FROM rests)
+    WHERE w IS NOT NULL)),
+n_texts AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM texts),
+of_term AS (SELECT term, count(DISTINCT t) AS nt FROM words GROUP BY term),
+entity AS (SELECT DISTINCT t, name || ':' || lower(v) AS e FROM base),
+of_entity AS (SELECT e, count(*) AS ne FROM entity GROUP BY e),
+pairs AS (SELECT e, term, count(*) AS n_both FROM entity JOIN (SELECT DISTINCT t, term FROM words WHERE t IN (SELECT t FROM entity)) USING (t) GROUP BY e, term),
+revealing AS (
+  SELECT DISTINCT term FROM pairs JOIN of_entity USING (e) JOIN of_term USING (term), n_texts
+  WHERE n > ne AND ln(n * (n_both - 0.5) / (ne * nt)) / ln(n / ne) >= 0.7),
+all_spans AS (
+  SELECT doc_id, name, kind, a, b FROM base
+  UNION ALL SELECT doc_id, 'term', 4, a, b FROM words WHERE term IN (SELECT term FROM revealing)),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+    string_agg(name || ':' || a || ':' || b, ',' ORDER BY kind, a) FILTER (kind < 4) AS base_text, string_agg(name || ':' || a || ':' || b, ',' ORDER BY kind, a) AS spans
+  FROM all_spans GROUP BY doc_id)
+SELECT texts.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN by_doc ON by_doc.doc_id = texts.doc_id""",
     "op4_near_duplicates": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -180,4 +227,19 @@ pairs AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE ((q.vec_id % 20) + 20) % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op9_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F\x{2000}-\x{206F}\x{3000}-\x{3003}\x{3008}-\x{3020}\x{A0}\x{A1}\x{AB}\x{B7}\x{BB}\x{BF}]+') AS w FROM documents WHERE text IS NOT NULL)),
+item_words AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F\x{2000}-\x{206F}\x{3000}-\x{3003}\x{3008}-\x{3020}\x{A0}\x{A1}\x{AB}\x{B7}\x{BB}\x{BF}]+') AS w FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(w) >= 5),
+laid AS (
+  SELECT doc_id, item_id, p - q AS shift, least(any_value(n), 10) AS least_words, list(q ORDER BY q) AS hits
+  FROM doc_words JOIN item_words USING (word) GROUP BY doc_id, item_id, shift HAVING 100 * count(*) >= 80 * least(any_value(n), 10)),
+ends AS (SELECT doc_id, item_id, shift, least_words, unnest(hits) AS q, unnest(range(len(hits))) AS k FROM laid),
+stretches AS (
+  SELECT a.doc_id, a.item_id, a.shift, a.q, b.q - a.q + 1 AS n_words, b.k - a.k + 1 AS n_same FROM ends a JOIN ends b USING (doc_id, item_id, shift)
+  WHERE b.q >= a.q AND 100 * (b.k - a.k + 1) >= 80 * (b.q - a.q + 1) AND b.q - a.q + 1 >= a.least_words),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, shift, q) AS place FROM stretches)
+SELECT doc_id, item_id, (q + shift)::INTEGER AS doc_start, q::INTEGER AS item_start, n_words::INTEGER AS n_words, n_same::INTEGER AS n_same FROM best WHERE place = 1""",
 }
