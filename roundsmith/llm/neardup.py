@@ -164,7 +164,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None, members_per_task: int = 2048) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None, members_per_task: int = 256) -> DataFrame:
     """The pairs(h, c), at most ``rows`` if known, that reach the similarity on full sets(h, set).
 
     The pairs of a centre ``c`` are dealt into groups; a group's rows stream past the centre's set.

@@ -127,7 +127,7 @@ def seed_scores(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray,
     return np.sort(scores, axis=1)[:, -k]
 
 
-def top_k(table: DataFrame, is_query, k: int = 20, pivots: int = 48, sample: int = 1024, query_block: int = 4096) -> DataFrame:
+def top_k(table: DataFrame, is_query, k: int = 20, pivots: int = 56, sample: int = 1024, query_block: int = 4096) -> DataFrame:
     """``table(vec_id, embedding)``; ``is_query`` selects the query rows. query_id, rank, vec_id, score."""
     spark = table.sparkSession
     raw = F.transform("embedding", lambda x: x.cast("double"))

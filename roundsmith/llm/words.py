@@ -99,7 +99,7 @@ class WordHasher:
         return to + int(blank[0]) if len(blank) else stop
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches whose ``column`` holds about ``most_bytes`` at most (or one row)."""
     for batch in batches:
         if batch.num_rows == 0:
