@@ -58,6 +58,15 @@ def count_components(group: pd.DataFrame, gap_km: float) -> int:
     return count
 
 
+def gap_edges(placed: DataFrame, gap_km: float) -> DataFrame:
+    """Pairs of a slot's sites at most ``gap_km`` apart, each once: only sites of the same or adjacent bands of latitude meet."""
+    band = F.floor(F.col("latitude") / (1.0001 * gap_km / geo.EARTH_KM * 180 / np.pi))
+    a = placed.select("tech", "week", "day", "fl_id", "latitude", "longitude", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = placed.select("tech", "week", "day", F.col("fl_id").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), band.alias("band"))
+    near = (F.col("fl_id") < F.col("other")) & (geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")) <= gap_km)
+    return a.join(b, ["tech", "week", "day", "band"]).where(near).select("tech", "fl_id", "other")
+
+
 def zones(placed: DataFrame, config: SchedulingConfig = DEFAULT) -> DataFrame:
     """Per used slot: sites, components and hours."""
     gap = config.gap_km

@@ -273,13 +273,13 @@ _BASE_FROM = """FROM latest l JOIN agreement a USING (agreement_id) JOIN derived
 LEFT JOIN branch1 b ON b.territory = x.territory AND b.division = 'Division '||a.division_code LEFT JOIN branch_timezone z ON z.branch_id = l.branch_id LEFT JOIN invoice_option i ON i.invoice_code = a.invoice_code LEFT JOIN branch h ON h.branch_id = l.branch_id
 WHERE a.status = 1 AND l.status = 1 AND a.division_code IN ('AUTOMOBILE','BUILDING','MACHINERY')"""
 _BASE = f"""SELECT l.booking_setup_id, x.fl_name, round(x.latitude,6) latitude, round(x.longitude,6) longitude, 'Division '||a.division_code AS division, coalesce(b.branch_name,'') service_branch, coalesce(h.setup_branch,'') setup_branch, x.territory, coalesce(i.invoice_frequency,'') invoice_frequency,
-strftime(l.createdon + to_minutes(coalesce(z.utc_offset_minutes,0)), '%H:%M:%S') preferred_start_time, round(round(p.setup_value*d.sql_spy,6),0) annual_value, a.billing_account, round(round(p.setup_value,2),2) setup_value, round(p.setup_quantity,4) setup_quantity, d.recurrence_frequency, d.drop_month, d.drop_week {_BASE_FROM}"""
+strftime(l.createdon + to_minutes(coalesce(z.utc_offset_minutes,0)), '%H:%M:%S') preferred_start_time, round(round(p.setup_value*d.sql_spy,6)/1000,0) annual_thousands, a.billing_account, round(round(p.setup_value,2),2) setup_value, round(p.setup_quantity,4) setup_quantity, d.recurrence_frequency, d.drop_month, d.drop_week {_BASE_FROM}"""
 
 
 @query("jn_1_to_6_flt_11_base_export", _BASE)
 def _(s):
     plain = ("fl_name", "division", "service_branch", "setup_branch", "territory", "invoice_frequency", "preferred_start_time", "billing_account", "recurrence_frequency", "drop_month", "drop_week")
-    numbers = (r(F.col("latitude")).alias("latitude"), r(F.col("longitude")).alias("longitude"), r(F.col("annual_value"), 0).alias("annual_value"), r(F.col("setup_value"), 2).alias("setup_value"), r(F.col("setup_quantity"), 4).alias("setup_quantity"))
+    numbers = (r(F.col("latitude")).alias("latitude"), r(F.col("longitude")).alias("longitude"), r(F.col("annual_value") / 1000, 0).alias("annual_thousands"), r(F.col("setup_value"), 2).alias("setup_value"), r(F.col("setup_quantity"), 4).alias("setup_quantity"))
     return export.base_export(s.domain).select("booking_setup_id", *plain, *numbers)
 
 
@@ -371,10 +371,7 @@ def _(s):
 
 @query("jn_21_gap_edges", f"SELECT a.tech, a.fl_id, b.fl_id other FROM stub a JOIN stub b ON a.tech=b.tech AND a.week=b.week AND a.day=b.day AND a.fl_id<b.fl_id WHERE {km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 15")
 def _(s):
-    a = s.stub().select("tech", "week", "day", "fl_id", "latitude", "longitude")
-    b = a.select("tech", "week", "day", F.col("fl_id").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
-    near = (F.col("fl_id") < F.col("other")) & (geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")) <= 15)
-    return a.join(b, ["tech", "week", "day"]).where(near).select("tech", "fl_id", "other")
+    return slots.gap_edges(s.stub(), 15)
 
 
 _ZONES = f"""SELECT tech, week, day, fls, components, round(monthly_hrs,6) monthly_hrs FROM (

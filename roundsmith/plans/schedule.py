@@ -53,7 +53,10 @@ def convergence(placed: DataFrame) -> DataFrame:
 
 
 class Schedule:
-    """Every table of a run over a domain; a table's plan is built when first asked for, from the ones before it."""
+    """Every table of a run over a domain; a table's plan is built when first asked for, from the ones before it.
+
+    Tables that many others start from are written once to the shared folder, as they are when first asked for.
+    """
 
     def __init__(self, domain, config: SchedulingConfig = DEFAULT, compact: bool = False):
         self.domain, self.config, self.compact = domain, config, compact
@@ -63,7 +66,7 @@ class Schedule:
     def derived(self) -> DataFrame:
         sites = self.domain.table("compact").withColumn("address", F.lit(None).cast("string")) if self.compact else self.domain.locations
         place_of = sites.select("fl_id", "fl_name", "city", "address", "latitude", "longitude")
-        return recurrence.derive(export.latest(self.domain.setups), self.domain.setups, self.config).join(place_of, "fl_id", "left")
+        return tables.stored(recurrence.derive(export.latest(self.domain.setups), self.domain.setups, self.config).join(place_of, "fl_id", "left"), "derived")
 
     @cached_property
     def rules(self):
@@ -95,11 +98,11 @@ class Schedule:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return assign.nearest_tech(self.clean, self.centroids)
+        return tables.stored(assign.nearest_tech(self.clean, self.centroids), "assigned")
 
     @cached_property
     def tech_sites(self) -> DataFrame:
-        return assign.tech_sites(self.assigned, self.site)
+        return tables.stored(assign.tech_sites(self.assigned, self.site), "tech-sites")
 
     def stub(self) -> DataFrame:
         """A fixed assignment by arithmetic, for checking everything that follows an assignment."""
