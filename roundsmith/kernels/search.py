@@ -80,6 +80,14 @@ def tally(seen: np.ndarray, current: int) -> tuple[int, int, int]:
     return int(seen[counts.argmax()]), int(counts.max()), int((seen == current).sum())
 
 
+def tallies(seen: np.ndarray, current: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tally`` of every row at once."""
+    counts = (seen[:, :, None] == seen[:, None, :]).sum(axis=2)
+    first = counts.argmax(axis=1)
+    rows = np.arange(len(seen))
+    return seen[rows, first], counts[rows, first], (seen == current[:, None]).sum(axis=1)
+
+
 def majority_filter(points: np.ndarray, hours: np.ndarray, slot: np.ndarray, k: int = 7, least: int = 3, passes: int = 10, cap: float = 8.0) -> tuple[np.ndarray, int]:
     """Join the neighbours' slot where ``least`` of k agree.  Votes are those at the start of a pass, loads are live."""
     slot, total = slot.copy(), 0
@@ -88,12 +96,12 @@ def majority_filter(points: np.ndarray, hours: np.ndarray, slot: np.ndarray, k:
     near = nearest(points, k)
     for _ in range(passes):
         frozen, load, moved = slot.copy(), np.bincount(slot, hours, 20), 0
-        for i in range(len(slot)):
-            top, votes, _ = tally(frozen[near[i]], frozen[i])
-            here = frozen[i]
-            if votes >= least and top != here and passes_gate(load[here], load[top], hours[i], cap):
-                load[here], load[top] = max(0.0, load[here] - hours[i]), load[top] + hours[i]
-                slot[i], moved = top, moved + 1
+        top, votes, _ = tallies(frozen[near], frozen)
+        for i in np.flatnonzero((votes >= least) & (top != frozen)).tolist():
+            here, to = frozen[i], top[i]
+            if passes_gate(load[here], load[to], hours[i], cap):
+                load[here], load[to] = max(0.0, load[here] - hours[i]), load[to] + hours[i]
+                slot[i], moved = to, moved + 1
         total += moved
         if not moved:
             break
@@ -102,20 +110,30 @@ def majority_filter(points: np.ndarray, hours: np.ndarray, slot: np.ndarray, k:
 
 def joint_search(points: np.ndarray, hours: np.ndarray, slot: np.ndarray, k: int = 7, passes: int = 500, tabu: int = 15, cap: float = 8.0) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Join a slot that strictly more neighbours have than the own one.  Votes and loads are live; slots left in
-    earlier passes are tabu from the next pass on.  Also the moves of every pass."""
+    earlier passes are tabu from the next pass on.  Also the moves of every pass.
+
+    A pass counts all votes at its start and again those of a site that has a moved neighbour by then.
+    """
     slot, log = slot.copy(), []
     if len(slot) < k + 1:
         return slot, log
     near, recent = nearest(points, k), deque(maxlen=tabu)
+    # The sites that have i among their neighbours.
+    askers = np.split(np.repeat(np.arange(len(slot)), k)[np.argsort(near.reshape(-1), kind="stable")], np.cumsum(np.bincount(near.reshape(-1), minlength=len(slot)))[:-1])
     for step in range(1, passes + 1):
         barred, load, moved = set(recent), np.bincount(slot, hours, 20), 0
+        top, votes, own = tallies(slot[near], slot)
+        likely = votes > own
         for i in range(len(slot)):
+            if not likely[i]:
+                continue
             here = int(slot[i])
-            top, votes, own = tally(slot[near[i]], here)
-            if votes > own and (i, top) not in barred and passes_gate(load[here], load[top], hours[i], cap):
-                load[here], load[top] = max(0.0, load[here] - hours[i]), load[top] + hours[i]
+            to, most, mine = tally(slot[near[i]], here)
+            if most > mine and (i, to) not in barred and passes_gate(load[here], load[to], hours[i], cap):
+                load[here], load[to] = max(0.0, load[here] - hours[i]), load[to] + hours[i]
                 recent.append((i, here))
-                slot[i], moved = top, moved + 1
+                slot[i], moved = to, moved + 1
+                likely[askers[i]] = True
         log.append((step, moved))
         if not moved:
             break

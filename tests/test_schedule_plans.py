@@ -110,3 +110,42 @@ def test_files_go_round(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("1", "x", None), ("2", None, "b")] and back.columns == table.columns
     assert not files.write_if_any(table.where("false"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
     assert files.write_if_any(table, str(tmp_path / "some")) and files.read_typed(spark, str(tmp_path / "some"), table.schema).count() == 2
+
+
+def test_counting_votes_at_once_changes_no_search():
+    """The searches restated with every vote counted when its site is visited."""
+    rng = np.random.default_rng(11)
+    for trial in range(6):
+        n = int(rng.integers(5, 90))
+        points, hours = np.array([-37, 145]) + rng.normal(0, 0.2, (n, 2)), rng.gamma(1.5, 0.6, n)
+        code = rng.integers(0, 20 if trial % 2 else 4, n)
+        near = search.nearest(points, 7) if n > 7 else None
+        slot, total = code.copy(), 0
+        for _ in range(10 if n > 7 else 0):
+            frozen, load, moved = slot.copy(), np.bincount(slot, hours, 20), 0
+            for i in range(n):
+                top, votes, _ = search.tally(frozen[near[i]], frozen[i])
+                here = frozen[i]
+                if votes >= 3 and top != here and search.passes_gate(load[here], load[top], hours[i], 8.0):
+                    load[here], load[top] = max(0.0, load[here] - hours[i]), load[top] + hours[i]
+                    slot[i], moved = top, moved + 1
+            total += moved
+            if not moved:
+                break
+        after, moves = search.majority_filter(points, hours, code)
+        assert (after == slot).all() and moves == total
+        slot, log, recent = code.copy(), [], []
+        for step in range(1, 501 if n > 7 else 1):
+            barred, load, moved = set(recent), np.bincount(slot, hours, 20), 0
+            for i in range(n):
+                here = int(slot[i])
+                top, votes, own = search.tally(slot[near[i]], here)
+                if votes > own and (i, top) not in barred and search.passes_gate(load[here], load[top], hours[i], 8.0):
+                    load[here], load[top] = max(0.0, load[here] - hours[i]), load[top] + hours[i]
+                    recent = [*recent, (i, here)][-15:]
+                    slot[i], moved = top, moved + 1
+            log.append((step, moved))
+            if not moved:
+                break
+        after, steps_ = search.joint_search(points, hours, code)
+        assert (after == slot).all() and steps_ == log
