@@ -223,7 +223,7 @@ def _tried(members: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int,
 def _compared(members: DataFrame, crowds: DataFrame, sets: DataFrame, sketch: SetSketch, percent: int, block_bytes: int) -> DataFrame:
     """Links (a, b) of labels from all pairs of a cluster with a free member, in pairs of blocks."""
     of = members.join(crowds, "cluster").withColumn("free", F.col("label") != F.col("top"))
-    side = F.least(F.greatest(F.floor(block_bytes * F.col("members") / (8 * F.col("crowd_size") + 1)), F.lit(16)), F.lit(1024))
+    side = F.least(F.greatest(F.floor(block_bytes * F.col("members") / (8 * F.col("crowd_size") + 1)), F.lit(16)), F.lit(128))
     of = of.withColumn("kf", F.ceil((F.col("members") - F.col("n_top")) / side).cast("int")).withColumn("kl", F.ceil(F.col("n_top") / side).cast("int"))
     # Blocks of free members are numbered from 0, those of the largest component from kf.
     spot = F.xxhash64("h")

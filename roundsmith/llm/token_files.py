@@ -162,8 +162,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, i
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        .repartitionByRange(F.col("doc_id"))
         .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")  # rows of one doc_id may be many, null ones above all
         .sortWithinPartitions("doc_id", "tie")
         .drop("tie")
     )
