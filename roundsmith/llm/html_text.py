@@ -47,13 +47,13 @@ GOING_ON = PROSE | HEADINGS | frozenset("li dd dt td th caption figcaption summa
 OUTSIDE = frozenset("nav footer aside form menu button dialog input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BOILER = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disclaimer disqus feedback footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay paywall pager pagination popup promo promos promoted promotion reactions related replies reply respond responses share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
+    "ad adbox ads adsbygoogle adsense adslot advert advertisement advertising advertorial adverts breadcrumb breadcrumbs comment commentbox commentform commentlist comments consent cookie cookiebanner cookiebar cookies copyright disclaimer discussion disqus feedback footer gdpr leaderboard leftbar login mainnav masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paywall popup promo promos promoted promotion reactions related replies reply respond responses rightbar search searchbox searchform share sharing sidebar sidebars sidenav signup skip social sponsor sponsored subnav subscribe subscription teaser teasers toolbar topbar topnav usercomments widget widgets".split()
 )
 #: These say so only outside an article.
 TOP = frozenset("alert banner header top".split())
-#: Words that may stand beside them; a class or id with any other word says something else.
+#: Words that may stand beside them, as may any of one or two letters; a class or id with any other word says something else.
 BESIDE = frozenset(
-    "a all and area bar block blocks body bottom box boxes btn button buttons card cards col column container content cta desktop first fixed for form frame global group holder icon icons inner inline item items js last left line link links list main message mobile module more msg of on our outer page panel policy primary region right row rows secondary section sections site slot small sticky text the this title to top unit us user view wrap wrapper your zone".split()
+    "all also and area bar block blocks body bottom box boxes btn button buttons card cards col column container content cta desktop email first fixed follow for form frame global group holder icon icons inline inner item items last latest left like likes line link links list main message mobile module more msg news our outer page panel policy popular primary read recent recommended region right row rows secondary section sections see site slot small sticky text the this thread title tools top trending unit user view wrap wrapper you your zone".split()
 )
 ARTICLES = frozenset("article articles entry post posts reader readers stories story".split())
 
@@ -81,7 +81,7 @@ class Line(NamedTuple):
 def says_boiler(value: str, in_article: bool) -> bool:
     """Whether one of a class or id attribute's names says that the element is no article text, and nothing else."""
     for name in value.split():
-        words = {w.lower() for w in _LETTERS.findall(_CAMEL.sub(" ", name))}
+        words = {w.lower() for w in _LETTERS.findall(_CAMEL.sub(" ", name)) if len(w) > 2 or w.lower() in BOILER}
         if words & BOILER and words <= BOILER | TOP | BESIDE | ARTICLES:
             return True
         if not in_article and words & TOP and words <= TOP | BESIDE - {"page"}:

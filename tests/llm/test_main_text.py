@@ -35,6 +35,14 @@ def test_pages(page, text):
     assert main_text(page).split("\n") == (text or [""])
 
 
+@pytest.mark.parametrize(
+    "name,outside,inside",
+    [("wp-comments", True, True), ("related-posts", True, True), ("related-work", False, False), ("siteFooter", True, True), ("site-header", True, False), ("post-header", False, False), ("my-ads", True, True), ("adventure", False, False), ("x related-work cookie_notice", True, True), ("", False, False)],
+)
+def test_names_that_say_boilerplate_and_nothing_else(name, outside, inside):
+    assert (html_text.says_boiler(name, False), html_text.says_boiler(name, True)) == (outside, inside)
+
+
 def test_regions_equal_the_rule_restated():
     rng = random.Random(4)
     for _ in range(2000):
