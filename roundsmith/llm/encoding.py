@@ -12,6 +12,12 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from roundsmith.llm.words import WordHasher, mix
+
 #: Letters of Latin scripts that are in normal form C and have one-to-one lower case.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
 _SAFE = re.compile(f"[\\x20-\\x7e\\n\\t\\r{_LETTERS}]*")
@@ -97,12 +103,127 @@ class ChunkEncoder:
         return b"".join(map(self.known.__getitem__, chunks))
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+class HashMemory:
+    """Runs of ids by 64-bit hash: open addressing over NumPy arrays, looked up many at a time.
 
+    Half of its 2 ** bits places may be taken: at 22 some 100 MB.  Two words of one hash would share their ids; among two
+    million kept words a new one does so with a probability of about 1e-13.
+    """
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
+    def __init__(self, bits: int = 22):
+        self.bits, self.most = bits, 1 << (bits - 1)
+        self.keys, self.slot_of = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.ids, self.n_ids = np.zeros(1 << bits, np.uint32), 0
+        self.begin, self.n = np.zeros(self.most + 1, np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's run, or -1."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            held = self.keys[at]
+            same = held == hashes[left]
+            out[left[same]] = self.slot_of[at[same]]
+            go = ~same & (held != 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+    def lay(self, flat: np.ndarray) -> None:
+        """Put ids behind the kept ones; they count as kept once ``add`` has taken them."""
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.n_ids:self.n_ids + len(flat)] = flat
+
+    def add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
+        """Distinct new hashes and their runs; what there is no room for is not kept."""
+        room = self.most - self.n
+        hashes, runs = hashes[:room], runs[:room]
+        if len(runs) == 0:
+            return
+        flat = np.frombuffer(b"".join(runs), "<u4")
+        self.lay(flat)
+        self.begin[self.n + 1:self.n + 1 + len(runs)] = self.n_ids + np.cumsum([len(r) // 4 for r in runs])
+        number, left = np.arange(self.n, self.n + len(runs)), np.arange(len(runs))
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[left[free]]  # of several at one place the last one stays
+            won = free & (self.keys[at] == hashes[left])
+            self.slot_of[at[won]] = number[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+        self.n, self.n_ids = self.n + len(runs), self.n_ids + len(flat)
+
+
+class BatchEncoder:
+    """``ids`` of all texts of an Arrow column: distinct words are looked up by hash, all at once; new ones go through ``ChunkEncoder``."""
+
+    def __init__(self, path: str, kind: str):
+        self.one, self.memory = ChunkEncoder(path, kind, max_entries=100_000), HashMemory()
+        self.hasher = WordHasher(frozenset([0x20]) if kind == "byte" else frozenset([0x20, 0x09, 0x0A, 0x0D]), fold=False)
+
+    def _alone(self, text: str) -> bool:
+        """Whether the text's words can't be cut at blanks."""
+        if _SAFE.fullmatch(text) is None or any(s in text for s in self.one.special):
+            return True
+        return self.one.kind == "byte" and (text[:1] == " " or text[-1:] == " " or any(s in text for s in _MIXED_BLANKS))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        rows = texts.to_pylist()
+        alone = np.array([self._alone(t) for t in rows], bool)
+        if alone.any():
+            texts = pc.if_else(pa.array(alone), "", texts)
+        if self.one.kind == "word":
+            texts = pc.utf8_lower(texts)
+        hashes, first, begin = self.hasher.placed(texts)
+        if self.one.kind == "byte" and len(hashes):
+            # A text's first word follows no blank: it is another word.
+            heads = first[:-1][np.diff(first) > 0]
+            hashes[heads] = mix(hashes[heads])
+        words, where = np.unique(hashes, return_inverse=True)
+        number = self.memory.find(words)
+        new = np.flatnonzero(number < 0)
+        runs: list[bytes] = []
+        if len(new):
+            runs = self._ask(texts, hashes, first, begin, words, new, where)
+        # Runs of new words lie behind those of known ones.
+        self.memory.lay(np.frombuffer(b"".join(runs), "<u4"))
+        size = np.zeros(len(words), np.int64)
+        at = np.zeros(len(words), np.int64)
+        known = number >= 0
+        at[known], size[known] = self.memory.begin[number[known]], self.memory.begin[number[known] + 1] - self.memory.begin[number[known]]
+        size[new] = [len(r) // 4 for r in runs]
+        at[new] = self.memory.n_ids + np.cumsum(size[new]) - size[new]
+        n = size[where]
+        ends = np.cumsum(n)
+        flat = self.memory.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[where] - (ends - n), n)].tobytes()
+        if len(new):
+            self.memory.add(words[new], runs)
+        cut = (4 * np.concatenate([[0], ends])[first]).tolist()
+        return [self.one.ids(t) if own else flat[a:b] for t, own, a, b in zip(rows, alone.tolist(), cut[:-1], cut[1:])]
+
+    def _ask(self, texts: pa.Array, hashes: np.ndarray, first: np.ndarray, begin: np.ndarray, words: np.ndarray, new: np.ndarray, where: np.ndarray) -> list[bytes]:
+        some = np.zeros(len(words), np.int64)
+        some[where] = np.arange(len(where))  # a place of each word
+        some = some[new]
+        data = memoryview(texts.buffers()[2])
+        ends = np.append(begin[1:], len(data))[some]
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        stop = offsets[np.searchsorted(offsets, begin[some], "right")]
+        ends = np.minimum(ends, stop)
+        head = np.zeros(len(begin), bool)
+        head[first[:-1][np.diff(first) > 0]] = True
+        blanks = " " if self.one.kind == "byte" else " \t\n\r"
+        lead = ["" if h or self.one.kind == "word" else " " for h in head[some].tolist()]
+        return [self.one._ask(b + bytes(data[x:y]).decode().rstrip(blanks)) for b, x, y in zip(lead, begin[some].tolist(), ends.tolist())]
+
+
+_ENCODERS: dict[tuple[str, str], BatchEncoder] = {}
+
+
+def encoder(path: str, kind: str) -> BatchEncoder:
     """The Python worker's encoder, kept from task to task; another vocabulary takes its place."""
     if (path, kind) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
+        _ENCODERS[path, kind] = BatchEncoder(path, kind)
     return _ENCODERS[path, kind]

@@ -67,7 +67,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer, kind).ids, TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer, kind).encode, TaskContext.get().partitionId()
         rows, n_bins = [], 0
 
         def packed() -> pa.RecordBatch:
@@ -79,8 +79,8 @@ def local_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[a:a + 4 * capacity]
                     rows.append((doc_id, k, a // 4, len(own) // 4, zlib.crc32(own)))

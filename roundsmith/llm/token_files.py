@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, i
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, kind).ids, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, kind).encode, TaskContext.get().partitionId()
         keys, parts, size, shard, start = [], [], 0, 0, 0
 
         def image() -> pa.RecordBatch:
@@ -149,9 +149,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARD)], schema=SHARD)
 
         for batch in slices(batches):
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 keys.append(key)
-                parts.append(encode(text) + end)
+                parts.append(ids + end)
                 size += len(parts[-1]) // 4
                 if size >= ids_per_file:
                     yield image()

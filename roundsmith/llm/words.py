@@ -29,12 +29,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """``separators``: the bytes between words; A-Z count as a-z."""
+    """``separators``: the bytes between words; A-Z count as a-z where ``fold``."""
 
-    def __init__(self, separators: frozenset[int] = BLANK):
+    def __init__(self, separators: frozenset[int] = BLANK, fold: bool = True):
         rng = np.random.default_rng(1234)
         self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.value[ord("A"):ord("Z") + 1] = self.value[ord("a"):ord("z") + 1]
+        if fold:
+            self.value[ord("A"):ord("Z") + 1] = self.value[ord("a"):ord("z") + 1]
         self.gap = np.zeros(256, bool)
         self.gap[sorted(separators)] = True
         self.value[self.gap] = 0
@@ -64,14 +65,18 @@ class WordHasher:
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, first word of each row and the number of all words)."""
+        return self.placed(texts)[:2]
+
+    def placed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``column``, and the byte of the texts' data that each word begins at."""
         n = len(texts)
         if n == 0:
-            return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         wide = pa.types.is_large_string(texts.type)
         offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64)
         if texts.null_count:
             texts = texts.fill_null("")
-            return self.column(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+            return self.placed(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         at, end = int(offsets[0]), int(offsets[-1])
@@ -84,7 +89,7 @@ class WordHasher:
             at = to
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        return flat, np.searchsorted(first, offsets).astype(np.int64)
+        return flat, np.searchsorted(first, offsets).astype(np.int64), first
 
     def _cut(self, raw: np.ndarray, offsets: np.ndarray, at: int, to: int) -> int:
         """A place near ``to`` where no word goes on: a text's begin or a separator."""
