@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from roundsmith.llm.words import WordHasher, mix
+from roundsmith.llm.words import KEPT, WordHasher, mix
 
 #: Letters of Latin scripts that are in normal form C and have one-to-one lower case.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
@@ -106,11 +106,11 @@ class ChunkEncoder:
 class HashMemory:
     """Runs of ids by 64-bit hash: open addressing over NumPy arrays, looked up many at a time.
 
-    Half of its 2 ** bits places may be taken: at 22 some 100 MB.  Two words of one hash would share their ids; among two
-    million kept words a new one does so with a probability of about 1e-13.
+    Half of its 2 ** bits places may be taken: at 21 some 50 MB.  Two words of one hash would share their ids; among a
+    million kept words a new one does so with a probability below 1e-13.
     """
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits, self.most = bits, 1 << (bits - 1)
         self.keys, self.slot_of = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.ids, self.n_ids = np.zeros(1 << bits, np.uint32), 0
@@ -218,12 +218,9 @@ class BatchEncoder:
         return [self.one._ask(b + bytes(data[x:y]).decode().rstrip(blanks)) for b, x, y in zip(lead, begin[some].tolist(), ends.tolist())]
 
 
-_ENCODERS: dict[tuple[str, str], BatchEncoder] = {}
-
-
 def encoder(path: str, kind: str) -> BatchEncoder:
-    """The Python worker's encoder, kept from task to task; another vocabulary takes its place."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, kind] = BatchEncoder(path, kind)
-    return _ENCODERS[path, kind]
+    """The Python worker's encoder, kept from task to task under the key (path, kind)."""
+    if (path, kind) not in KEPT:
+        KEPT.clear()
+        KEPT[path, kind] = BatchEncoder(path, kind)
+    return KEPT[path, kind]

@@ -78,7 +78,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
             columns = [*zip(*rows), [names[0]] * len(rows), names, at]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
-        for batch in slices(batches):
+        for batch in slices(batches, keep=(tokenizer, kind)):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):

@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, i
             row = [part, shard, start, len(keys), len(ids), encode_file(keys, lengths, ids)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARD)], schema=SHARD)
 
-        for batch in slices(batches):
+        for batch in slices(batches, keep=(tokenizer, kind)):
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 keys.append(key)
                 parts.append(ids + end)

@@ -104,8 +104,17 @@ class WordHasher:
         return to + int(blank[0]) if len(blank) else stop
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches whose ``column`` holds about ``most_bytes`` at most (or one row)."""
+#: What a Python worker keeps from task to task, by operator's key: the state of one operator at a time.
+KEPT: dict = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20, keep=None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches whose ``column`` holds about ``most_bytes`` at most (or one row).
+
+    A worker that begins to read for an operator drops what it kept for others: all but ``keep``.
+    """
+    for key in [k for k in KEPT if k != keep]:
+        del KEPT[key]
     for batch in batches:
         if batch.num_rows == 0:
             continue
