@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roundsmith.config import DEFAULT, SchedulingConfig
 from roundsmith.functions import geo
 from roundsmith.functions.workload import frequency_tier, normalised, workload
+from roundsmith.kernels.near import nearest_sites
 from roundsmith.operators.profile import first_by
 
 
@@ -93,35 +94,6 @@ def tech_sites(setups: DataFrame, site: DataFrame) -> DataFrame:
     return out.withColumn("anchor_tier", frequency_tier(F.col("anchor_freq"))).join(site.select("fl_id", "fl_name", "city"), "fl_id", "left")
 
 
-def nearest_sites(lat: np.ndarray, lon: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the asking site, place of the other, km) of the k nearest others, by km and then id.
-
-    Sites lie in order of latitude; a window of them is enough once the k-th distance is below the distance to its edges.
-    """
-    order = np.argsort(lat, kind="stable")
-    lat, lon, ids = np.radians(lat[order]), np.radians(lon[order]), ids[order]
-    out = []
-    for place in np.flatnonzero(asked[order]):
-        reach = max(32, 4 * k)
-        while True:
-            lo, hi = max(0, place - reach), min(len(lat), place + reach + 1)
-            chord = np.sin((lat[lo:hi] - lat[place]) / 2) ** 2 + np.cos(lat[place]) * np.cos(lat[lo:hi]) * np.sin((lon[lo:hi] - lon[place]) / 2) ** 2
-            km = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(chord, 1)))
-            km[place - lo] = np.inf
-            best = np.lexsort((ids[lo:hi], km))[:k]
-            best = best[np.isfinite(km[best])]
-            # Beyond an edge every site is farther than its difference of latitude.
-            edges = [lat[place] - lat[lo] if lo else np.inf, lat[hi - 1] - lat[place] if hi < len(lat) else np.inf]
-            if lo == 0 and hi == len(lat) or len(best) == k and km[best[-1]] < geo.EARTH_KM * min(edges) - 1e-9:
-                break
-            reach *= 4
-        out.append((np.full(len(best), place), best + lo, km[best]))
-    if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    a, b, km = (np.concatenate(x) for x in zip(*out))
-    return order[a], order[b], km
-
-
 def neighbours(placed: DataFrame, k: int, asking: int = 4096) -> DataFrame:
     """The k nearest other sites of the same technician: tech, fl_id, other, km, nn_rank.
 

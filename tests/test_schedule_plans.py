@@ -149,3 +149,29 @@ def test_counting_votes_at_once_changes_no_search():
                 break
         after, steps_ = search.joint_search(points, hours, code)
         assert (after == slot).all() and steps_ == log
+
+
+def symmetric_sites():
+    """Sites of a lattice: some are equally far from others but for the last bits, as in larger tables."""
+    ids = sorted({b + d for b in range(12_000, 12_600, 5) for d in (-1976, 0, 1976, 58_039)})
+    return [(i, -39 + ((i * 7919) % 4001) / 1000, 141 + ((i * 104729) % 8009) / 1000) for i in ids]
+
+
+def distances_by_sql(rows):
+    duckdb = pytest.importorskip("duckdb")
+    from roundsmith.plans.oracle import km
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE stub (fl_id BIGINT, latitude DOUBLE, longitude DOUBLE)")
+    con.executemany("INSERT INTO stub VALUES (?, ?, ?)", rows)
+    far = f"SELECT a.fl_id, b.fl_id other, {km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} km FROM stub a JOIN stub b ON a.fl_id <> b.fl_id"
+    ranked = con.execute(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fl_id ORDER BY km, other) nn_rank FROM ({far})) WHERE nn_rank <= 7 ORDER BY fl_id, nn_rank").fetchall()
+    return [(a, b, d) for a, b, d, _ in ranked]
+
+
+def test_neighbours_that_are_equally_far_come_in_the_order_of_the_sql():
+    rows = symmetric_sites()
+    ids, lat, lon = (np.array(x) for x in zip(*rows))
+    a, b, km = assign.nearest_sites(lat, lon, ids, np.ones(len(ids), bool), 7)
+    got = sorted(zip(ids[a].tolist(), range(len(a)), ids[b].tolist(), km.tolist()))
+    assert [(x, y, d) for x, _, y, d in got] == distances_by_sql(rows)
