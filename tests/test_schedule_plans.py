@@ -175,3 +175,24 @@ def test_neighbours_that_are_equally_far_come_in_the_order_of_the_sql():
     a, b, km = assign.nearest_sites(lat, lon, ids, np.ones(len(ids), bool), 7)
     got = sorted(zip(ids[a].tolist(), range(len(a)), ids[b].tolist(), km.tolist()))
     assert [(x, y, d) for x, _, y, d in got] == distances_by_sql(rows)
+
+
+def stub_and_sql(spark, name):
+    """Equally far sites with slots by arithmetic, and what the SQL of a query says of them."""
+    duckdb = pytest.importorskip("duckdb")
+    from roundsmith.plans.oracle import PREFIX
+    from roundsmith.plans.queries import SQL
+
+    # Three slots, so that many votes are equal and the first of them decides.
+    rows = [("A", i, lat, lon, 0.01, i * 31 // 3 % 3 + 1, DAYS[0]) for i, lat, lon in symmetric_sites()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE stub (tech VARCHAR, fl_id BIGINT, latitude DOUBLE, longitude DOUBLE, monthly_hrs DOUBLE, week INT, day VARCHAR)")
+    con.executemany("INSERT INTO stub VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+    votes = PREFIX[PREFIX.index("knn AS ("):PREFIX.index("dist AS (")].rstrip().rstrip(",")
+    table = spark.createDataFrame(rows, "tech string, fl_id long, latitude double, longitude double, monthly_hrs double, week int, day string")
+    return table, sorted(con.execute(f"WITH {votes} {SQL[name].removeprefix(PREFIX)}").fetchall())
+
+
+def test_votes_of_equally_far_neighbours_are_those_of_the_sql(spark):
+    table, want = stub_and_sql(spark, "agg_21_votes")
+    assert sorted(map(tuple, slots.votes(table, 7).collect())) == want
