@@ -196,3 +196,9 @@ def stub_and_sql(spark, name):
 def test_votes_of_equally_far_neighbours_are_those_of_the_sql(spark):
     table, want = stub_and_sql(spark, "agg_21_votes")
     assert sorted(map(tuple, slots.votes(table, 7).collect())) == want
+
+
+def test_enclaves_of_equally_far_neighbours_are_those_of_the_sql(spark):
+    table, want = stub_and_sql(spark, "kpi_4_5_enclaves")
+    got = slots.enclaves(slots.votes(table, 7), 3).first()
+    assert [(*got[:3], round(got.strict_pct, 6), round(got.loose_pct, 6))] == want
