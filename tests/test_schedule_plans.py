@@ -202,3 +202,8 @@ def test_enclaves_of_equally_far_neighbours_are_those_of_the_sql(spark):
     table, want = stub_and_sql(spark, "kpi_4_5_enclaves")
     got = slots.enclaves(slots.votes(table, 7), 3).first()
     assert [(*got[:3], round(got.strict_pct, 6), round(got.loose_pct, 6))] == want
+
+
+def test_first_candidates_of_equally_far_neighbours_are_those_of_the_sql(spark):
+    table, want = stub_and_sql(spark, "opt_2_3_first_candidates")
+    assert sorted(map(tuple, steps.vote_candidates(table).collect())) == want
