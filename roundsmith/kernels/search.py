@@ -8,6 +8,7 @@ import numpy as np
 
 from roundsmith.config import DAYS
 from roundsmith.kernels.cluster import haversine
+from roundsmith.kernels.near import nearest_sites
 
 #: Ties between slots go by week and then by the day's name in the alphabet.
 ALPHABETIC = sorted(DAYS)
@@ -23,13 +24,9 @@ def slot_parts(code: np.ndarray) -> tuple[np.ndarray, list[str]]:
 
 
 def nearest(points: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k nearest other points of every point, nearest first; rows in blocks of bounded memory."""
-    rows = []
-    for a in range(0, len(points), 1024):
-        d = haversine(points[a:a + 1024], points)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        rows.append(np.argsort(d, axis=1, kind="stable")[:, :k])
-    return np.concatenate(rows)
+    """Indices of the k nearest other points of every point, nearest first, ties to the smaller index."""
+    asking, other, _ = nearest_sites(points[:, 0], points[:, 1], np.arange(len(points)), np.ones(len(points), bool), k)
+    return other[np.argsort(asking, kind="stable")].reshape(len(points), k)
 
 
 def passes_gate(src: float, dst: float, hours: float, cap: float) -> bool:

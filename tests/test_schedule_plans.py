@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -207,3 +208,27 @@ def test_enclaves_of_equally_far_neighbours_are_those_of_the_sql(spark):
 def test_first_candidates_of_equally_far_neighbours_are_those_of_the_sql(spark):
     table, want = stub_and_sql(spark, "opt_2_3_first_candidates")
     assert sorted(map(tuple, steps.vote_candidates(table).collect())) == want
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def many_sites(n=8000):
+    rng = np.random.default_rng(4)
+    return np.array([-37, 145]) + rng.integers(-200, 201, (n, 2)) / 1000, rng.gamma(1.5, 0.01, n), rng.integers(0, 20, n)
+
+
+def test_neighbours_in_the_majority_filter_need_no_table_of_all_distances():
+    points, hours, code = many_sites()
+    near, peak = peak_of(lambda: search.nearest(points, 7))
+    assert peak < 60
+    far = cluster.haversine(points[:300], points)
+    far[np.arange(300), np.arange(300)] = np.inf
+    np.testing.assert_allclose(np.take_along_axis(far, near[:300], 1), np.sort(far, axis=1)[:, :7], atol=1e-9)
+    (_, moves), peak = peak_of(lambda: search.majority_filter(points, hours, code))
+    assert moves > 0 and peak < 60
