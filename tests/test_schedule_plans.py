@@ -232,3 +232,8 @@ def test_neighbours_in_the_majority_filter_need_no_table_of_all_distances():
     np.testing.assert_allclose(np.take_along_axis(far, near[:300], 1), np.sort(far, axis=1)[:, :7], atol=1e-9)
     (_, moves), peak = peak_of(lambda: search.majority_filter(points, hours, code))
     assert moves > 0 and peak < 60
+
+
+def test_the_joint_search_needs_no_table_of_all_distances():
+    (_, log), peak = peak_of(lambda: search.joint_search(*many_sites(), passes=2))
+    assert log[0][1] > 0 and peak < 60
