@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +60,7 @@ def write_if_any(df: DataFrame, path: str) -> bool:
 def report_payload(placed: DataFrame, applied: DataFrame, slot_loads: DataFrame, most: int = 200_000) -> dict:
     """What the report shows, as plain values: sites with their setups, slot loads, and the choices in their order.
 
-    A page is read by a person, so it holds at most ``most`` sites; choose technicians or a branch before.
+    A page is read by a person, so it holds at most ``most`` sites; ``report_pages`` makes as many pages as a larger schedule takes.
     """
     records = slots.site_records(applied, placed)
     if records.limit(most + 1).count() > most:
@@ -73,6 +74,37 @@ def report_payload(placed: DataFrame, applied: DataFrame, slot_loads: DataFrame,
     return {"fls": rows(fls.orderBy("tech", "fl_id")), "slots": rows(loads.orderBy("tech", "week", "day")), "techs": held["tech"], "freqs": held["freq"], "cities": held["city"]}
 
 
+def report_pages(placed: DataFrame, applied: DataFrame, slot_loads: DataFrame, per_page: int = 500, title: str = "Schedule") -> DataFrame:
+    """A whole schedule as pages of some ``per_page`` sites of one technician each: tech, part, html, and what a page holds when it is read again.
+
+    Every site is on one page, with all its setups; a technician's slots are on the first page (part 0), also where no
+    site is on it.  A page offers the choices of its own rows.  Pages are made and read by the executors; ``fls``, ``setups`` and ``slots``
+    count what was read, ``readable`` says whether it is what was to be shown.
+    """
+    setup = F.transform("setup_list", lambda x: F.struct(x["booking_setup_id"].alias("id"), x["freq"].alias("freq"), x["duration"].alias("minutes"), x["pattern"].alias("pattern")))
+    fl = F.struct("fl_id", F.col("fl_name").alias("name"), "city", "tech", "week", "day", F.round("monthly_hrs", 2).alias("hrs"), "is_outlier", setup.alias("setups"))
+    slot = F.struct("tech", "week", "day", F.col("load_hrs").alias("load"), "over_capacity", heat_band(F.col("load_hrs")).alias("band"))
+    parts = placed.groupBy(F.col("tech").alias("of")).agg(F.ceil(F.count("*") / per_page).cast("int").alias("parts"))
+    sites = slots.site_records(applied, placed).join(parts, F.col("tech").eqNullSafe(F.col("of")))
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    sites = sites.select("tech", F.pmod(F.xxhash64("fl_id"), F.col("parts")).cast("int").alias("part"), F.lit("fl").alias("kind"), text(fl).alias("row"))
+    rows = sites.union(slot_loads.select("tech", F.lit(0).alias("part"), F.lit("slot").alias("kind"), text(slot).alias("row")))
+
+    def page(group: pd.DataFrame) -> pd.DataFrame:
+        tech, part = group["tech"].iloc[0], int(group["part"].iloc[0])
+        fls = sorted(map(json.loads, group["row"][group["kind"] == "fl"]), key=lambda x: x["fl_id"])
+        loads = sorted(map(json.loads, group["row"][group["kind"] == "slot"]), key=lambda x: (x["week"], x["day"]))
+        for f in fls:
+            f["setups"] = f["setups"] or []
+        freqs, cities = {s["freq"] for f in fls for s in f["setups"]}, {f["city"] for f in fls}
+        held = {"fls": fls, "slots": loads, "techs": [] if tech is None else [tech], "freqs": sorted(freqs - {None}), "cities": sorted(cities - {None})}
+        made = report_page(held, f"{title}: {tech}, part {part + 1}")
+        back = payload_of(made)
+        return pd.DataFrame({"tech": [tech], "part": [part], "html": [made], "fls": [len(back["fls"])], "setups": [sum(len(f["setups"]) for f in back["fls"])], "slots": [len(back["slots"])], "readable": [back == held]})
+
+    return rows.groupBy("tech", "part").applyInPandas(page, "tech string, part int, html string, fls long, setups long, slots long, readable boolean")
+
+
 #: The page shows values as text nodes only, so no name can be markup.
 _PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title>
 <style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:2px 6px}}.b0{{background:#fff}}.b1{{background:#eef}}.b2{{background:#ffd}}.b3{{background:#fda}}.b4{{background:#f88}}</style></head><body>

@@ -237,3 +237,29 @@ def test_neighbours_in_the_majority_filter_need_no_table_of_all_distances():
 def test_the_joint_search_needs_no_table_of_all_distances():
     (_, log), peak = peak_of(lambda: search.joint_search(*many_sites(), passes=2))
     assert log[0][1] > 0 and peak < 60
+
+
+def test_a_report_of_any_size_is_whole_over_its_pages(spark):
+    _, table = placed(spark, 60, 13)
+    table = table.withColumn("fl_name", F.when(F.col("fl_id") == 3, "</script><b>").otherwise(F.col("fl_name")))
+    setups = table.select("tech", "fl_id", "week", "day", F.explode(F.array(F.col("fl_id"), F.col("fl_id") + 1000)).alias("booking_setup_id"), F.lit("1 Monthly").alias("recurrence_frequency"), F.lit(30.0).alias("effective_duration"), F.lit("1-Monday").alias("new_date_pattern"), F.lit(True).alias("is_mwp"), F.lit(False).alias("is_weekly"), F.lit(30.0).alias("monthly_contrib_mins"))
+    whole = files.report_payload(table, setups, slots.capacity(setups))
+    pages = files.report_pages(table, setups, slots.capacity(setups), per_page=5).collect()
+    back = [files.payload_of(p.html) for p in pages]
+    assert len(pages) > 8 and all(p.readable and "<b>" not in p.html for p in pages)
+    assert sorted((f for b in back for f in b["fls"]), key=lambda f: (f["tech"], f["fl_id"])) == whole["fls"]
+    assert sorted((x for b in back for x in b["slots"]), key=lambda x: (x["tech"], x["week"], x["day"])) == whole["slots"]
+    assert [(p.fls, p.setups, p.slots) for p in pages] == [(len(b["fls"]), 2 * len(b["fls"]), len(b["slots"])) for b in back]
+    empty = files.report_pages(table.where("false"), setups.where("false"), slots.capacity(setups.where("false")))
+    assert empty.count() == 0
+
+
+def test_the_report_query_has_no_limit_of_sites(spark, monkeypatch):
+    from roundsmith.plans import queries
+
+    def one_page(*_):
+        raise ValueError("too many for one page")
+
+    monkeypatch.setattr(files, "report_payload", one_page)
+    row = queries.QUERIES["snk_4_report"](spark, "/root/testdata/sf0.001").first()
+    assert row.fls > 0 and row.setups >= row.fls and row.slots == 20 * row.techs and row.readable
