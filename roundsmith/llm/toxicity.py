@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundsmith.llm.common import text_or_empty
+from roundsmith.llm.common import release, text_or_empty
 from roundsmith.llm.words import NO_WORD, WordHasher, slices
 
 BLOCK = 64
@@ -282,4 +282,5 @@ def held_out(doc_id):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **parameters) -> DataFrame:
     """Score every document of ``docs``; labels of held-out rows are never learned from."""
     model = fit(docs, labels, lambda d: ~held_out(d), **parameters)
+    release(docs.sparkSession)
     return score(docs, model, threshold).withColumn("held_out", held_out("doc_id"))

@@ -173,3 +173,13 @@ def test_run_chains_the_stages(spark, folder):
         docs = stage(spark, docs, folder)
     assert whole == sorted((r.doc_id, r.piece, r.length) for r in docs.collect()) and whole
     assert 200 not in {d for d, *_ in whole}
+
+
+def test_the_driver_lets_go_between_stored_tables(spark, monkeypatch):
+    from roundsmith.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", calls.append)
+    for i in range(16):
+        common.stored(spark.range(1), f"small-{i}")
+    assert len(calls) == 2
