@@ -19,31 +19,32 @@ from roundsmith.sources import tables
 SLOTTED = "tech string, fl_id long, latitude double, longitude double, monthly_hrs double, anchor_tier int, week int, day string, is_outlier boolean, moves_rebalance int, moves_filter int, log array<struct<iter:int,moves:int>>"
 
 
+def place_technician(pdf: pd.DataFrame, variant: str = "filter", config: SchedulingConfig = DEFAULT) -> pd.DataFrame:
+    """A slot for every site of one technician; besides the sites it holds a few numbers for each of them."""
+    pdf = pdf.sort_values("fl_id", ignore_index=True)
+    points, hours = pdf[["latitude", "longitude"]].to_numpy(float), pdf["monthly_hrs"].to_numpy(float)
+    rng = np.random.default_rng([config.seed, zlib.crc32(pdf["tech"].iloc[0].encode())])
+    days, weeks, outlier = cluster.seed_slots(points, hours, pdf["anchor_tier"].to_numpy(), rng, config.mad_multiplier, config.least_weight)
+    code, log, first, second = search.slot_code(weeks, [DAYS[d] for d in days]), [], 0, 0
+    balance = lambda c: search.rebalance(points, hours, c, config.capacity_hours, config.rebalance_moves, config.tabu, config.least_weight, config.allow_empty_slots)
+    if variant == "filter":
+        code, first = balance(code)
+        code, second = search.majority_filter(points, hours, code, config.neighbours, config.least_votes, config.filter_passes, config.capacity_hours)
+    elif variant == "joint":
+        code, log = search.joint_search(points, hours, code, config.neighbours, config.joint_passes, config.tabu, config.capacity_hours)
+        code, first = balance(code)
+    week, day = search.slot_parts(code)
+    steps = [{"iter": i, "moves": m} for i, m in log]
+    return pdf.assign(week=week.astype("int32"), day=day, is_outlier=outlier, moves_rebalance=first, moves_filter=second, log=[steps] + [[]] * (len(pdf) - 1))
+
+
 def place(tech_sites: DataFrame, variant: str = "filter", config: SchedulingConfig = DEFAULT) -> DataFrame:
     """A slot for every (tech, site).  ``variant``: "seed", "filter" (rebalance, majority filter) or "joint" (joint search, rebalance).
 
     The search is sequential within a technician, so a technician is a group; its table holds a few numbers per site.
     """
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fl_id", ignore_index=True)
-        points, hours = pdf[["latitude", "longitude"]].to_numpy(float), pdf["monthly_hrs"].to_numpy(float)
-        rng = np.random.default_rng([config.seed, zlib.crc32(pdf["tech"].iloc[0].encode())])
-        days, weeks, outlier = cluster.seed_slots(points, hours, pdf["anchor_tier"].to_numpy(), rng, config.mad_multiplier, config.least_weight)
-        code, log, first, second = search.slot_code(weeks, [DAYS[d] for d in days]), [], 0, 0
-        balance = lambda c: search.rebalance(points, hours, c, config.capacity_hours, config.rebalance_moves, config.tabu, config.least_weight, config.allow_empty_slots)
-        if variant == "filter":
-            code, first = balance(code)
-            code, second = search.majority_filter(points, hours, code, config.neighbours, config.least_votes, config.filter_passes, config.capacity_hours)
-        elif variant == "joint":
-            code, log = search.joint_search(points, hours, code, config.neighbours, config.joint_passes, config.tabu, config.capacity_hours)
-            code, first = balance(code)
-        week, day = search.slot_parts(code)
-        steps = [{"iter": i, "moves": m} for i, m in log]
-        return pdf.assign(week=week.astype("int32"), day=day, is_outlier=outlier, moves_rebalance=first, moves_filter=second, log=[steps] + [[]] * (len(pdf) - 1))
-
     columns = tech_sites.select("tech", "fl_id", "latitude", "longitude", "monthly_hrs", "anchor_tier")
-    return columns.groupBy("tech").applyInPandas(kernel, SLOTTED)
+    return columns.groupBy("tech").applyInPandas(lambda pdf: place_technician(pdf, variant, config), SLOTTED)
 
 
 def convergence(placed: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from roundsmith.config import DAYS
+from roundsmith.config import DAYS, SchedulingConfig
 from roundsmith.kernels import cluster, search
 from roundsmith.operators import assign, slots, spec, steps
+from roundsmith.plans import schedule
 from roundsmith.sources import files
 
 PLACED = "tech string, fl_id long, latitude double, longitude double, monthly_hrs double, week int, day string, is_outlier boolean, fl_name string, city string"
@@ -263,3 +265,18 @@ def test_the_report_query_has_no_limit_of_sites(spark, monkeypatch):
     monkeypatch.setattr(files, "report_payload", one_page)
     row = queries.QUERIES["snk_4_report"](spark, "/root/testdata/sf0.001").first()
     assert row.fls > 0 and row.setups >= row.fls and row.slots == 20 * row.techs and row.readable
+
+
+#: Few moves: they take no memory, only time.
+FEW = SchedulingConfig(joint_passes=2, filter_passes=2, rebalance_moves=5)
+
+
+def one_technician(n=4000):
+    points, hours, _ = many_sites(n)
+    return pd.DataFrame({"tech": "A", "fl_id": np.arange(n), "latitude": points[:, 0], "longitude": points[:, 1], "monthly_hrs": hours, "anchor_tier": np.arange(n) % 5 + 1})
+
+
+def test_the_joint_variant_of_one_technician_needs_no_table_of_all_distances():
+    sites = one_technician()
+    placed, peak = peak_of(lambda: schedule.place_technician(sites, "joint", FEW))
+    assert len(placed) == len(sites) and placed["log"].iloc[0][0]["moves"] > 0 and peak < 60
