@@ -280,3 +280,18 @@ def test_the_joint_variant_of_one_technician_needs_no_table_of_all_distances():
     sites = one_technician()
     placed, peak = peak_of(lambda: schedule.place_technician(sites, "joint", FEW))
     assert len(placed) == len(sites) and placed["log"].iloc[0][0]["moves"] > 0 and peak < 60
+
+
+def test_indicators_of_many_sites_need_no_table_of_all_distances():
+    """Every variant of one technician, and what the indicators ask of its zones and neighbours."""
+    sites = one_technician()
+
+    def work():
+        for variant in ("seed", "filter", "joint"):
+            placed = schedule.place_technician(sites, variant, FEW)
+            zones = [slots.count_components(zone, 15.0) for _, zone in placed.groupby(["week", "day"])]
+            asking, _, _ = assign.nearest_sites(placed["latitude"].to_numpy(), placed["longitude"].to_numpy(), placed["fl_id"].to_numpy(), placed["fl_id"].to_numpy() % 4 == 0, 7)
+        return zones, asking
+
+    (zones, asking), peak = peak_of(work)
+    assert len(zones) == 20 and len(asking) == 7 * len(sites) / 4 and peak < 60
