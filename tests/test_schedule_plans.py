@@ -295,3 +295,13 @@ def test_indicators_of_many_sites_need_no_table_of_all_distances():
 
     (zones, asking), peak = peak_of(work)
     assert len(zones) == 20 and len(asking) == 7 * len(sites) / 4 and peak < 60
+
+
+def test_convergence_of_many_sites_is_the_log_of_a_search_without_a_table_of_all_distances(spark):
+    sites = one_technician()
+    placed, peak = peak_of(lambda: schedule.place_technician(sites, "joint", FEW))
+    points, hours = sites[["latitude", "longitude"]].to_numpy(), sites["monthly_hrs"].to_numpy()
+    seed = schedule.place_technician(sites, "seed", FEW)
+    _, log = search.joint_search(points, hours, search.slot_code(seed["week"], seed["day"]), passes=2)
+    got = schedule.convergence(schedule.place(spark.createDataFrame(sites.astype({"anchor_tier": "int32"})), "joint", FEW))
+    assert peak < 60 and sorted((r.tech, r.iter, r.moves, r.fls) for r in got.collect()) == [("A", i, m, len(sites)) for i, m in log]
