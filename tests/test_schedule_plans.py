@@ -305,3 +305,9 @@ def test_convergence_of_many_sites_is_the_log_of_a_search_without_a_table_of_all
     _, log = search.joint_search(points, hours, search.slot_code(seed["week"], seed["day"]), passes=2)
     got = schedule.convergence(schedule.place(spark.createDataFrame(sites.astype({"anchor_tier": "int32"})), "joint", FEW))
     assert peak < 60 and sorted((r.tech, r.iter, r.moves, r.fls) for r in got.collect()) == [("A", i, m, len(sites)) for i, m in log]
+
+
+def test_the_filter_variant_of_one_technician_needs_no_table_of_all_distances():
+    sites = one_technician()
+    placed, peak = peak_of(lambda: schedule.place_technician(sites, "filter", FEW))
+    assert len(placed) == len(sites) and placed["moves_filter"].iloc[0] > 0 and peak < 60
