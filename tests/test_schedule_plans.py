@@ -311,3 +311,17 @@ def test_the_filter_variant_of_one_technician_needs_no_table_of_all_distances():
     sites = one_technician()
     placed, peak = peak_of(lambda: schedule.place_technician(sites, "filter", FEW))
     assert len(placed) == len(sites) and placed["moves_filter"].iloc[0] > 0 and peak < 60
+
+
+def test_the_diagnosed_joint_variant_of_many_sites_needs_no_table_of_all_distances():
+    sites = one_technician()
+    # One site far from the others of its slot.
+    sites.loc[0, "latitude"] += 3
+
+    def work():
+        placed = schedule.place_technician(sites, "joint", FEW)
+        return placed, {key: slots.count_components(zone, 15.0) for key, zone in placed.groupby(["week", "day"])}
+
+    (placed, components), peak = peak_of(work)
+    far = placed.loc[0]
+    assert len(placed) == len(sites) and components[(far["week"], far["day"])] > 1 and peak < 60
