@@ -29,7 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """A scan of ``df`` written as Parquet: plans that share it don't repeat the work before it."""
+    """A scan of ``df`` written as Parquet: plans that share it don't repeat the work before it.
+
+    At most two files per core, whatever the number of partitions: for each file that it makes on a local path, Hadoop
+    forks the executor's JVM, and until the child has become ``chmod`` the executor counts twice.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

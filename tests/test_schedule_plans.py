@@ -3,6 +3,7 @@
 import datetime
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -325,3 +326,29 @@ def test_the_diagnosed_joint_variant_of_many_sites_needs_no_table_of_all_distanc
     (placed, components), peak = peak_of(work)
     far = placed.loc[0]
     assert len(placed) == len(sites) and components[(far["week"], far["day"])] > 1 and peak < 60
+
+
+def stored_files(spark, tables_of, monkeypatch):
+    """Files of each table that ``tables_of`` a schedule stores from many partitions, with its name."""
+    from roundsmith.fixtures import Domain
+    from roundsmith.sources import tables
+
+    kept, paths, path_of = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}, {}, tables.new_path
+    before = {key: spark.conf.get(key) for key in kept}
+    monkeypatch.setattr(tables, "new_path", lambda session, name: paths.setdefault(name, path_of(session, name)))
+    try:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+        tables_of(schedule.Schedule(Domain(spark, "/root/testdata/sf0.001"), FEW, compact=True))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    most = 2 * spark.sparkContext.defaultParallelism
+    return {name: len(list(Path(path.removeprefix("file://")).glob("*.parquet"))) for name, path in paths.items()}, most
+
+
+def test_tables_that_the_indicators_store_are_few_files_with_all_rows(spark, monkeypatch):
+    seen = []
+    files_of, most = stored_files(spark, lambda s: seen.extend(s.stored_placed(v).count() for v in ("seed", "filter", "joint")) or seen.append(s.tech_sites.count()), monkeypatch)
+    assert sorted(files_of) == ["assigned", "derived", "placed-filter", "placed-joint", "placed-seed", "tech-sites"]
+    assert seen[0] > 0 and len(set(seen)) == 1 and max(files_of.values()) <= most
