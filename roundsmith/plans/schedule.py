@@ -48,9 +48,10 @@ def place(tech_sites: DataFrame, variant: str = "filter", config: SchedulingConf
 
 
 def convergence(placed: DataFrame) -> DataFrame:
-    """The joint search's log: tech, iter, moves, fls."""
-    sizes = placed.groupBy("tech").agg(F.count("*").alias("fls"))
-    return placed.select("tech", F.explode("log").alias("l")).select("tech", "l.iter", "l.moves").join(sizes, "tech")
+    """The joint search's log: tech, iter, moves, fls.  ``placed`` is read once, so the search that it stands for runs once."""
+    steps = F.flatten(F.collect_list(F.when(F.size("log") > 0, F.col("log"))))
+    logs = placed.groupBy("tech").agg(F.count("*").alias("fls"), steps.alias("log"))
+    return logs.select("tech", F.explode("log").alias("l"), "fls").select("tech", "l.iter", "l.moves", "fls")
 
 
 class Schedule:

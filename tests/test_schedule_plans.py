@@ -352,3 +352,10 @@ def test_tables_that_the_indicators_store_are_few_files_with_all_rows(spark, mon
     files_of, most = stored_files(spark, lambda s: seen.extend(s.stored_placed(v).count() for v in ("seed", "filter", "joint")) or seen.append(s.tech_sites.count()), monkeypatch)
     assert sorted(files_of) == ["assigned", "derived", "placed-filter", "placed-joint", "placed-seed", "tech-sites"]
     assert seen[0] > 0 and len(set(seen)) == 1 and max(files_of.values()) <= most
+
+
+def test_the_convergence_runs_the_search_once(spark):
+    sites = spark.createDataFrame(one_technician(20).astype({"anchor_tier": "int32"}))
+    got = schedule.convergence(schedule.place(sites, "joint", FEW))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and got.count() > 0
