@@ -359,3 +359,8 @@ def test_the_convergence_runs_the_search_once(spark):
     got = schedule.convergence(schedule.place(sites, "joint", FEW))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and got.count() > 0
+
+
+def test_tables_that_the_filter_variant_stores_are_few_files(spark, monkeypatch):
+    files_of, most = stored_files(spark, lambda s: s.diagnosed(s.stored_placed("filter")).count(), monkeypatch)
+    assert "placed-filter" in files_of and max(files_of.values()) <= most
