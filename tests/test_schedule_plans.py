@@ -364,3 +364,8 @@ def test_the_convergence_runs_the_search_once(spark):
 def test_tables_that_the_filter_variant_stores_are_few_files(spark, monkeypatch):
     files_of, most = stored_files(spark, lambda s: s.diagnosed(s.stored_placed("filter")).count(), monkeypatch)
     assert "placed-filter" in files_of and max(files_of.values()) <= most
+
+
+def test_tables_that_the_joint_variant_stores_are_few_files(spark, monkeypatch):
+    files_of, most = stored_files(spark, lambda s: s.diagnosed(s.stored_placed("joint")).count(), monkeypatch)
+    assert "placed-joint" in files_of and max(files_of.values()) <= most
