@@ -587,7 +587,7 @@ def _(s):
 # Whole variants, through diagnostics -----------------------------------------------------------------------------------
 @query("opt_6_variant_v1", compact=True)
 def _(s):
-    return s.diagnosed(s.stored_placed("filter")).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+    return s.flagged("filter")
 
 
 @query("opt_7_variant_v2", compact=True)

@@ -18,6 +18,8 @@ from roundsmith.sources import tables
 
 SLOTTED = "tech string, fl_id long, latitude double, longitude double, monthly_hrs double, anchor_tier int, week int, day string, is_outlier boolean, moves_rebalance int, moves_filter int, log array<struct<iter:int,moves:int>>"
 
+FLAGGED = "tech string, fl_id long, week int, day string, is_outlier boolean, in_disconnected_zone boolean"
+
 
 def place_technician(pdf: pd.DataFrame, variant: str = "filter", config: SchedulingConfig = DEFAULT) -> pd.DataFrame:
     """A slot for every site of one technician; besides the sites it holds a few numbers for each of them."""
@@ -47,6 +49,21 @@ def place(tech_sites: DataFrame, variant: str = "filter", config: SchedulingConf
     return columns.groupBy("tech").applyInPandas(lambda pdf: place_technician(pdf, variant, config), SLOTTED)
 
 
+def flag_technician(pdf: pd.DataFrame, variant: str = "filter", config: SchedulingConfig = DEFAULT) -> pd.DataFrame:
+    """The placed sites of one technician; those of a slot of more than one component are flagged."""
+    placed = place_technician(pdf, variant, config)
+    apart = np.zeros(len(placed), bool)
+    for at in placed.groupby(["week", "day"]).indices.values():
+        apart[at] = slots.count_components(placed.iloc[at], config.gap_km) > 1
+    return placed[["tech", "fl_id", "week", "day", "is_outlier"]].assign(in_disconnected_zone=apart)
+
+
+def place_flagged(tech_sites: DataFrame, variant: str = "filter", config: SchedulingConfig = DEFAULT) -> DataFrame:
+    """``place`` and ``flag_disconnected`` in one pass: all zones of a technician are in its group."""
+    columns = tech_sites.select("tech", "fl_id", "latitude", "longitude", "monthly_hrs", "anchor_tier")
+    return columns.groupBy("tech").applyInPandas(lambda pdf: flag_technician(pdf, variant, config), FLAGGED)
+
+
 def convergence(placed: DataFrame) -> DataFrame:
     """The joint search's log: tech, iter, moves, fls.  ``placed`` is read once, so the search that it stands for runs once."""
     steps = F.flatten(F.collect_list(F.when(F.size("log") > 0, F.col("log"))))
@@ -122,3 +139,9 @@ class Schedule:
 
     def diagnosed(self, placed: DataFrame) -> DataFrame:
         return slots.flag_disconnected(placed, slots.zones(placed, self.config))
+
+    def flagged(self, variant: str = "filter") -> DataFrame:
+        """``diagnosed`` of a variant: of its stored placement if there is one, or else without storing any."""
+        if variant in self._stored:
+            return self.diagnosed(self._stored[variant]).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+        return place_flagged(self.tech_sites, variant, self.config)

@@ -369,3 +369,44 @@ def test_tables_that_the_filter_variant_stores_are_few_files(spark, monkeypatch)
 def test_tables_that_the_joint_variant_stores_are_few_files(spark, monkeypatch):
     files_of, most = stored_files(spark, lambda s: s.diagnosed(s.stored_placed("joint")).count(), monkeypatch)
     assert "placed-joint" in files_of and max(files_of.values()) <= most
+
+
+def old_collections(spark):
+    """Full collections so far of the JVM, which in a local session is the executor too."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def one_pass(spark, variant, query, monkeypatch):
+    """The variant's query stores neither its placement nor more than a file per core, and flags what the separate steps flag."""
+    from roundsmith.plans import queries
+
+    seen, before = {}, old_collections(spark)
+
+    def run(s):
+        monkeypatch.setattr(queries, "_schedule", lambda *_: s)
+        seen["got"] = sorted(map(tuple, queries.QUERIES[query](spark, "/root/testdata/sf0.001").collect()))
+        seen["collections"] = old_collections(spark) - before
+        seen["names"] = list(s._stored)
+        steps = s.diagnosed(s.stored_placed(variant)).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+        seen["want"] = sorted(map(tuple, steps.collect()))
+
+    files_of, _ = stored_files(spark, run, monkeypatch)
+    assert not seen["names"] and seen["got"] and seen["got"] == seen["want"]
+    assert max(files_of.values()) <= spark.sparkContext.defaultParallelism
+    # Heaps are handed back after each of the three tables, at least once.
+    assert seen["collections"] >= 3
+
+
+def test_the_filter_variant_is_placed_and_flagged_in_one_pass_with_small_heaps(spark, monkeypatch):
+    one_pass(spark, "filter", "opt_6_variant_v1", monkeypatch)
+
+
+def test_sites_of_a_split_slot_are_flagged_in_the_pass_that_places_them(spark):
+    sites = one_technician(1500)
+    sites.loc[0, "latitude"] += 3
+    table = spark.createDataFrame(sites.astype({"anchor_tier": "int32"}))
+    placed = schedule.place(table, "filter", FEW)
+    want = slots.flag_disconnected(placed, slots.zones(placed)).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+    got = sorted(map(tuple, schedule.place_flagged(table, "filter", FEW).collect()))
+    assert got == sorted(map(tuple, want.collect())) and 0 < sum(r[-1] for r in got) < len(got)
