@@ -592,7 +592,7 @@ def _(s):
 
 @query("opt_7_variant_v2", compact=True)
 def _(s):
-    return s.diagnosed(s.stored_placed("joint")).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
+    return s.flagged("joint")
 
 
 @query("opt_6_7_indicators", compact=True)

@@ -410,3 +410,7 @@ def test_sites_of_a_split_slot_are_flagged_in_the_pass_that_places_them(spark):
     want = slots.flag_disconnected(placed, slots.zones(placed)).select("tech", "fl_id", "week", "day", "is_outlier", "in_disconnected_zone")
     got = sorted(map(tuple, schedule.place_flagged(table, "filter", FEW).collect()))
     assert got == sorted(map(tuple, want.collect())) and 0 < sum(r[-1] for r in got) < len(got)
+
+
+def test_the_joint_variant_is_placed_and_flagged_in_one_pass_with_small_heaps(spark, monkeypatch):
+    one_pass(spark, "joint", "opt_7_variant_v2", monkeypatch)
