@@ -42,10 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """A scan of ``df`` written as Parquet: plans that share it don't repeat the work before it.
 
     At most one file per core, whatever the number of partitions: for each file that it makes on a local path, Hadoop
-    forks the executor's JVM three times, and until the child has become ``chmod`` the executor counts twice.  What follows
-    starts with small heaps, for the files that it makes.
+    forks the executor's JVM three times, and until the child has become ``chmod`` the executor counts twice.  So the heaps
+    are small before the files are made, and again for what follows.
     """
-    path = new_path(df.sparkSession, name)
-    df.coalesce(df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
-    hand_back(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    few = df.coalesce(spark.sparkContext.defaultParallelism)
+    # An adaptive plan runs all but its last stage here; the files are made in the last one, from small heaps.
+    rows = few._jdf.queryExecution().toRdd()
+    hand_back(spark)
+    DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, few._jdf.schema(), False), spark).write.parquet(path)
+    hand_back(spark)
+    return spark.read.schema(df.schema).parquet(path)

@@ -414,3 +414,13 @@ def test_sites_of_a_split_slot_are_flagged_in_the_pass_that_places_them(spark):
 
 def test_the_joint_variant_is_placed_and_flagged_in_one_pass_with_small_heaps(spark, monkeypatch):
     one_pass(spark, "joint", "opt_7_variant_v2", monkeypatch)
+
+
+def test_heaps_are_handed_back_before_the_files_of_a_table_are_made(spark, monkeypatch):
+    from roundsmith.sources import tables
+
+    paths, made, path_of = [], [], tables.new_path
+    monkeypatch.setattr(tables, "new_path", lambda *of: paths.append(path_of(*of)) or paths[-1])
+    monkeypatch.setattr(tables, "hand_back", lambda _: made.append(Path(paths[0].removeprefix("file://")).exists()))
+    got = tables.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "handed")
+    assert made == [False, True] and sorted(map(tuple, got.collect())) == [(k, 142 + (k < 6)) for k in range(7)]
