@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -178,8 +180,8 @@ def filter_lists(placed: DataFrame, applied: DataFrame) -> DataFrame:
     return listed("tech", techs, -F.round("hrs", 6), "tech").union(listed("freq", freqs, F.lit(0), "freq")).union(listed("city", cities, F.lit(0), "city"))
 
 
-def indicators(placed: DataFrame, applied: DataFrame, config: SchedulingConfig = DEFAULT) -> DataFrame:
-    """One row of all indicators of a schedule, for diagnostics at the end of a run."""
+def indicator_parts(placed: DataFrame, applied: DataFrame, config: SchedulingConfig = DEFAULT) -> list[DataFrame]:
+    """The indicators of a schedule as tables of one row each: loads, distances, zones, enclaves, what was allocated."""
     cap = capacity(applied, config)
     over = F.col("over_capacity")
     loads = cap.agg(F.count_if(over).alias("over_slots"), (F.avg(over.cast("double")) * 100).alias("over_pct"), F.max("load_hrs").alias("max_load"))
@@ -187,5 +189,9 @@ def indicators(placed: DataFrame, applied: DataFrame, config: SchedulingConfig =
     apart = zones(placed, config).agg(F.count_if(F.col("components") > 1).alias("disconnected_zones"))
     enclave = enclaves(votes(placed, config.neighbours), config.least_votes).select("strict_pct", "loose_pct")
     given = applied.agg((F.avg((F.length("new_date_pattern") > 0).cast("double")) * 100).alias("allocated_pct"))
-    # Tables of one row each.
-    return loads.join(far).join(apart).join(enclave).join(given)
+    return [loads, far, apart, enclave, given]
+
+
+def indicators(placed: DataFrame, applied: DataFrame, config: SchedulingConfig = DEFAULT) -> DataFrame:
+    """One row of all indicators of a schedule, for diagnostics at the end of a run."""
+    return functools.reduce(DataFrame.join, indicator_parts(placed, applied, config))

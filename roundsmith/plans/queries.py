@@ -597,11 +597,14 @@ def _(s):
 
 @query("opt_6_7_indicators", compact=True)
 def _(s):
-    rows = []
+    rows, kinds = [], {}
     for variant in ("seed", "filter", "joint"):
         placed = s.stored_placed(variant)
-        rows.append(rounded(slots.indicators(placed, slots.apply_slots(s.assigned, placed))).withColumn("variant", F.lit(variant)))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        # Part by part: the driver has no room for one plan of all variants.
+        parts = [rounded(p) for p in slots.indicator_parts(placed, slots.apply_slots(s.assigned, placed))]
+        kinds = dict(x for p in parts for x in p.dtypes)
+        rows.append((*(v for row in tables.settled(parts) for v in row), variant))
+    return s.domain.spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", variant string").coalesce(1)
 
 
 # Files -----------------------------------------------------------------------------------------------------------------

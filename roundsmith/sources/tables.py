@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,13 +31,39 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def hand_back(spark: SparkSession) -> None:
-    """Executors collect their garbage, so that their heaps shrink to what they hold.
+    """Executors and the driver collect their garbage, so that their heaps shrink to what they hold.
 
     A JVM that has sorted keeps its heap near the limit, also while only Python works.  A task per core reaches every executor of
     an idle application; one that is missed only stays as large as it was.
     """
     cores = spark.sparkContext.defaultParallelism
     spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+    slim_driver(spark)
+
+
+def slim_driver(spark: SparkSession) -> None:
+    """The driver collects its garbage: what finished plans held, and the heap that they grew."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(parts: list[DataFrame]) -> list[Row]:
+    """The single row of each part, one part after the other.
+
+    Spark plans each by itself, again after each of its shuffles; in one plan of all, the driver holds and prints every part each time.
+    """
+    rows = []
+    for part in parts:
+        rows += part.collect()
+        hand_back(part.sparkSession)
+    return rows
+
+
+def make_folders(spark: SparkSession, path: str) -> None:
+    """The folders that a table's writer needs, if its path is local: Hadoop forks the driver's JVM for each that it makes itself."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        os.makedirs(f"{place.toUri().getPath()}/_temporary/0/_temporary")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,13 +71,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     At most one file per core, whatever the number of partitions: for each file that it makes on a local path, Hadoop
     forks the executor's JVM three times, and until the child has become ``chmod`` the executor counts twice.  So the heaps
-    are small before the files are made, and again for what follows.
+    are small before the files are made, and again for what follows.  The driver is not forked at all: its folders are made here,
+    and no file says that the job is done.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     few = df.coalesce(spark.sparkContext.defaultParallelism)
     # An adaptive plan runs all but its last stage here; the files are made in the last one, from small heaps.
     rows = few._jdf.queryExecution().toRdd()
     hand_back(spark)
-    DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, few._jdf.schema(), False), spark).write.parquet(path)
+    make_folders(spark, path)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, few._jdf.schema(), False), spark).write
+    out.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     hand_back(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -424,3 +424,42 @@ def test_heaps_are_handed_back_before_the_files_of_a_table_are_made(spark, monke
     monkeypatch.setattr(tables, "hand_back", lambda _: made.append(Path(paths[0].removeprefix("file://")).exists()))
     got = tables.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "handed")
     assert made == [False, True] and sorted(map(tuple, got.collect())) == [(k, 142 + (k < 6)) for k in range(7)]
+
+
+def test_indicators_are_computed_part_by_part_and_are_those_of_one_plan(spark, monkeypatch):
+    from roundsmith.fixtures import Domain
+    from roundsmith.plans import queries
+    from roundsmith.sources import tables
+
+    s = schedule.Schedule(Domain(spark, "/root/testdata/sf0.001"), FEW, compact=True)
+    monkeypatch.setattr(queries, "_schedule", lambda *_: s)
+    got = queries.QUERIES["opt_6_7_indicators"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" not in plan
+    want = []
+    for variant in ("seed", "filter", "joint"):
+        placed = s.stored_placed(variant)
+        want += queries.rounded(slots.indicators(placed, slots.apply_slots(s.assigned, placed))).withColumn("variant", F.lit(variant)).collect()
+    assert got.collect() == want and want[0].fls > 0 and got.columns == list(want[0].asDict())
+    empty = s.tech_sites.where("false").withColumns({"week": F.lit(1), "day": F.lit("Monday"), "is_outlier": F.lit(False)})
+    parts = slots.indicator_parts(empty, slots.apply_slots(s.assigned.where("false"), empty))
+    assert [v for row in tables.settled(parts) for v in row] == list(slots.indicators(empty, slots.apply_slots(s.assigned.where("false"), empty)).first())
+
+
+def test_the_driver_collects_and_makes_no_folder_of_a_table_by_hadoop(spark, monkeypatch):
+    from pyspark.sql import readwriter
+
+    from roundsmith.sources import tables
+
+    seen, write, slim = [], readwriter.DataFrameWriter.parquet, tables.slim_driver
+
+    def parquet(self, path, *args, **more):
+        seen.append((path, Path(path.removeprefix("file://"), "_temporary/0/_temporary").is_dir()))
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(readwriter.DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(tables, "slim_driver", lambda session: seen.append("slim") or slim(session))
+    got = tables.stored(spark.range(1000).withColumn("k", F.col("id") % 7), "quiet")
+    path, ready = seen[1]
+    assert seen == ["slim", (path, True), "slim"] and ready and got.count() == 1000
+    assert not list(Path(path.removeprefix("file://")).glob("_*"))
